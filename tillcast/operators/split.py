@@ -14,9 +14,13 @@ def hash_bucket(keys: Sequence[str], seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 100
 
 
+def in_training_part(keys: Sequence[str], percent: int = 80, seed: int = 42) -> Column:
+    return hash_bucket(keys, seed) < percent
+
+
 def holdout_split(
-    df: DataFrame, keys: Sequence[str], train_percent: int = 80, seed: int = 42
+    df: DataFrame, keys: Sequence[str], percent: int = 80, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
     """Training and test rows by key hash; sizes are close to the share asked for."""
-    train = hash_bucket(keys, seed) < train_percent
+    train = in_training_part(keys, percent, seed)
     return df.filter(train), df.filter(~train)
