@@ -7,7 +7,7 @@ import time
 from pathlib import Path
 
 import duckdb
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from acceptance.oracle import ORACLES
 from acceptance.queries import QUERIES
@@ -31,9 +31,8 @@ def oracle_rows(folder: str, sql: str) -> tuple[list[str], list[tuple]]:
     return [d[0] for d in cursor.description], cursor.fetchall()
 
 
-def differences(spark: SparkSession, folder: str, name: str) -> str | None:
+def differences(result: DataFrame, folder: str, name: str) -> str | None:
     """None if both engines agree on columns, row count and every value."""
-    result = QUERIES[name](spark, folder)
     got = normal_rows(result.columns, [tuple(r) for r in result.collect()])
     if name not in ORACLES:
         return None if got else "no rows"
@@ -61,7 +60,7 @@ def main() -> int:
     failed = 0
     for name in names:
         start = time.perf_counter()
-        problem = differences(spark, folder, name)
+        problem = differences(QUERIES[name](spark, folder), folder, name)
         failed += problem is not None
         kind = "sql" if name in ORACLES else "rows"
         print(f"{problem or 'ok':<8} {time.perf_counter() - start:6.2f}s {kind:<4} {name}", flush=True)

@@ -9,13 +9,13 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame) -> bool:
     """Measure a dimension's rows and text: 16 bytes per column plus string bytes."""
     text = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     size = F.count("*") * (16 * len(df.columns))
     for name in text:
         size = size + F.coalesce(F.sum(F.octet_length(name)), F.lit(0))
-    return df.agg(size.alias("bytes")).first()["bytes"] <= limit
+    return df.agg(size.alias("bytes")).first()["bytes"] <= BROADCAST_BYTES
 
 
 def hint_if(fits: bool, df: DataFrame) -> DataFrame:

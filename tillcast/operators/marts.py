@@ -5,12 +5,14 @@ All joins are inner. Averages are per line and unweighted, distinct counts exact
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillcast.functions import shipping_days, truncated_mean, zero_if_null
+from tillcast.operators.distincts import grouped_with_distincts
 
 if TYPE_CHECKING:
     from tillcast.sources.star import StarSchema
@@ -20,26 +22,24 @@ DRIVERS = ("TotalOrders", "AvgUnitPrice", "AvgDiscount", "UniqueCustomers", "Avg
 CUSTOMER_TRAITS = ("Gender", "EmailPromotion", "CountryRegionName")
 
 
-def driver_aggregates() -> list[Column]:
+def _with_drivers(star: StarSchema, lines: DataFrame, keys: Sequence[str], total: Column) -> DataFrame:
+    """Group ``lines`` and compute ``total`` and the drivers."""
     days = shipping_days(F.col("OrderDateKey"), F.col("ShipDateKey"))
-    return [
-        F.countDistinct("SalesOrderID").alias("TotalOrders"),
+    plain = [
+        total,
         F.avg("UnitPrice").alias("AvgUnitPrice"),
         F.avg("UnitPriceDiscount").alias("AvgDiscount"),
-        F.countDistinct("CustomerKey").alias("UniqueCustomers"),
         truncated_mean(days).alias("AvgShippingTime"),
     ]
+    distinct = {"TotalOrders": "SalesOrderID", "UniqueCustomers": "CustomerKey"}
+    return grouped_with_distincts(lines, keys, plain, distinct, star.rescan_is_cheap)
 
 
 def _monthly(star: StarSchema, total: Column, name: str) -> DataFrame:
     # Grouped on the raw calendar columns: NULL and 0 stay apart and then print the
     # same key, so the NULL default comes after the aggregate.
-    grouped = (
-        star.dated_lines()
-        .groupBy("Year", "Month", "Quarter", "IsHolidaySL")
-        .agg(total.alias(name), *driver_aggregates())
-    )
-    return grouped.select(
+    keys = ("Year", "Month", "Quarter", "IsHolidaySL")
+    return _with_drivers(star, star.dated_lines(), keys, total.alias(name)).select(
         "Year",
         "Month",
         zero_if_null(F.col("Quarter")).alias("Quarter"),
@@ -62,10 +62,10 @@ def monthly_demand(star: StarSchema) -> DataFrame:
 
 def regional_monthly(star: StarSchema) -> DataFrame:
     """Units by territory name and month. ``TotalSales`` counts units here, not money."""
-    return (
-        star.territory_lines()
-        .groupBy("TerritoryName", "Year", "Month")
-        .agg(F.sum("OrderQty").alias("TotalSales"), *driver_aggregates())
+    keys = ("TerritoryName", "Year", "Month")
+    units = F.sum("OrderQty").alias("TotalSales")
+    return _with_drivers(star, star.territory_lines(), keys, units).select(
+        *keys, "TotalSales", *DRIVERS
     )
 
 

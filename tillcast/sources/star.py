@@ -62,12 +62,17 @@ SCHEMAS = {
 
 @dataclass(frozen=True)
 class StarSchema:
-    """Four tables; ``fact`` may be of any size, the dimensions are checked before a broadcast."""
+    """Four tables; ``fact`` may be of any size, the dimensions are checked before a broadcast.
+
+    ``rescan_is_cheap`` says that reading a few columns of ``fact`` again costs little,
+    as it does for a columnar table and not for a view over joins or a remote table.
+    """
 
     fact: DataFrame
     dates: DataFrame
     territories: DataFrame
     customers: DataFrame
+    rescan_is_cheap: bool = False
 
     @cached_property
     def _dates_fit(self) -> bool:
@@ -116,7 +121,8 @@ def parquet_star(spark: SparkSession, root: str) -> StarSchema:
         *[
             conform(spark.read.parquet(f"{root}/{table}"), table)
             for table in (FACT, DATES, TERRITORIES, CUSTOMERS)
-        ]
+        ],
+        rescan_is_cheap=True,
     )
 
 
