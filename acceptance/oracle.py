@@ -233,6 +233,11 @@ ORACLES: dict[str, str] = {
         "SELECT DateKey, coalesce(Quarter, 0) AS Quarter, "
         "coalesce(IsHolidaySL, 0) AS IsHolidaySL FROM dates",
     ),
+    "two_decimals": _with(
+        MARTS,
+        "SELECT TerritoryName, Year, Month, printf('%.2f', AvgUnitPrice) AS AvgUnitPrice "
+        "FROM regional",
+    ),
     "monthly_sales": _with(
         MARTS,
         "SELECT Year, Month, Quarter, IsHolidaySL, round(TotalSales, 4) AS TotalSales, "

@@ -16,6 +16,7 @@ from tillcast.functions import (
     quarter_of_month,
     shipping_days,
     truncated_mean,
+    two_decimals,
     zero_if_null,
 )
 from tillcast.operators.calendar import chosen_months, month_spine, with_month_index, year_bounds
@@ -119,6 +120,12 @@ def null_default_columns(star: StarSchema) -> DataFrame:
     )
 
 
+def two_decimals_query(star: StarSchema) -> DataFrame:
+    return tc.regional_monthly(star).select(
+        "TerritoryName", "Year", "Month", two_decimals(F.col("AvgUnitPrice")).alias("AvgUnitPrice")
+    )
+
+
 # -- joins and aggregates -------------------------------------------------------------
 
 
@@ -326,6 +333,7 @@ QUERIES: dict[str, Query] = {
     "shipping_days": _over_star(shipping_days_query),
     "quarter_of_month": _over_star(quarter_of_month_query),
     "null_default_columns": _over_star(null_default_columns),
+    "two_decimals": _over_star(two_decimals_query),
     "monthly_sales": _over_star(lambda star: _rounded(tc.monthly_sales(star))),
     "monthly_demand": _over_star(lambda star: _rounded(tc.monthly_demand(star))),
     "regional_monthly": _over_star(lambda star: _rounded(tc.regional_monthly(star))),

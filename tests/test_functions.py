@@ -14,6 +14,7 @@ from tillcast.functions import (
     quarter_of_month,
     shipping_days,
     truncated_mean,
+    two_decimals,
     zero_if_null,
 )
 
@@ -79,3 +80,8 @@ def test_defaults_and_flags(spark):
     assert one(spark, zero_if_null(key(None))) == 0
     assert one(spark, zero_if_null(key(3))) == 3
     assert [one(spark, positive_flag(key(v))) for v in (None, 0, -1, 2)] == [0, 0, 0, 1]
+
+
+def test_report_text(spark):
+    assert one(spark, two_decimals(F.lit(0.9670227))) == "0.97"
+    assert one(spark, two_decimals(F.lit(1234567.0))) == "1234567.00"

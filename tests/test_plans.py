@@ -3,9 +3,10 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import tillcast as tc
-from tests.conftest import line
+from tests.conftest import line, rows
 from tillcast.operators.customers import latest_month
 from tillcast.sources.star import CUSTOMERS, DATES, FACT, TERRITORIES
 
@@ -85,3 +86,45 @@ def test_hot_keys_are_split_up_before_the_count(make_star):
     plan = plan_of(tc.monthly_sales(make_star([line()], rescan_is_cheap=True)))
     assert re.search(r"hashpartitioning\(Year#[^)]*, SalesOrderID#", plan)
     assert re.search(r"hashpartitioning\(Year#[^)]*, CustomerKey#", plan)
+
+
+def test_hot_order_and_hot_customer_are_split(spark, tmp_path):
+    """A third of the lines in one order, a third of the orders with one customer.
+
+    The size from which Spark splits a join partition is lowered to the test's scale.
+    """
+    source = "/root/testdata/sf0.001"
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    hot = F.col("o_orderkey") % 3 == 0
+    lines = spark.read.parquet(f"{source}/lineitem.parquet").repartition(8)
+    orders = spark.read.parquet(f"{source}/orders.parquet").repartition(8)
+    lines.withColumn(
+        "l_orderkey", F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_orderkey"))
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders.withColumn("o_custkey", F.when(hot, 1).otherwise(F.col("o_custkey"))).write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    for name in ("customer", "nation", "region"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    expected = rows(tc.monthly_demand(tc.retail_star(spark, str(tmp_path))))
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        mart = tc.monthly_demand(tc.retail_star(spark, str(tmp_path)))
+        got = rows(mart)
+        final = plan_of(mart)
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert "SortMergeJoin(skew=true)" in final
+    assert len(got) == len(expected)
+    for g, e in zip(got, expected, strict=True):
+        assert g == pytest.approx(e, rel=1e-12)

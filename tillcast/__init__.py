@@ -1,12 +1,14 @@
 """Retail sales forecasting and customer purchase scoring on Spark."""
 
 from tillcast.errors import ModelNotTrained, UntrainableData
+from tillcast.operators.calendar import with_month_index
 from tillcast.operators.marts import (
     customer_monthly,
     monthly_demand,
     monthly_sales,
     regional_monthly,
 )
+from tillcast.plans.features import customer_features, regional_features
 from tillcast.plans.jobs import (
     forecast_demand,
     forecast_regional,
@@ -19,6 +21,7 @@ from tillcast.plans.jobs import (
     train_sales,
     train_sales_forest,
 )
+from tillcast.plans.models import ForestSettings
 from tillcast.sources import (
     StarSchema,
     jdbc_star,
@@ -30,9 +33,11 @@ from tillcast.sources import (
 )
 
 __all__ = [
+    "ForestSettings",
     "ModelNotTrained",
     "StarSchema",
     "UntrainableData",
+    "customer_features",
     "customer_monthly",
     "forecast_demand",
     "forecast_regional",
@@ -43,6 +48,7 @@ __all__ = [
     "monthly_demand",
     "monthly_sales",
     "parquet_star",
+    "regional_features",
     "regional_monthly",
     "retail_star",
     "score_customers",
@@ -51,6 +57,7 @@ __all__ = [
     "train_regional",
     "train_sales",
     "train_sales_forest",
+    "with_month_index",
     "write_mart",
     "write_results",
 ]

@@ -7,7 +7,7 @@ from tillcast.functions.dates import (
     quarter_of_month,
     shipping_days,
 )
-from tillcast.functions.scalars import positive_flag, truncated_mean, zero_if_null
+from tillcast.functions.scalars import positive_flag, truncated_mean, two_decimals, zero_if_null
 
 __all__ = [
     "date_from_key",
@@ -17,5 +17,6 @@ __all__ = [
     "quarter_of_month",
     "shipping_days",
     "truncated_mean",
+    "two_decimals",
     "zero_if_null",
 ]

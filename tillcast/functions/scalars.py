@@ -22,3 +22,8 @@ def truncated_mean(value: Column) -> Column:
     -3 and -4 average to -3.
     """
     return F.call_function("div", F.sum(value), F.nullif(F.count(value), F.lit(0)))
+
+
+def two_decimals(value: Column) -> Column:
+    """Text with two decimals, for reports."""
+    return F.format_string("%.2f", value)

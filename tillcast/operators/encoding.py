@@ -16,16 +16,17 @@ from pyspark.sql import types as T
 
 from tillcast.operators.joins import fits_broadcast, hint_if
 
-# Up to this many categories a column becomes single indicator columns; beyond it,
-# one sparse vector.
-WIDE_CATEGORIES = 200
+# Up to this many categories a column becomes single indicator columns; beyond it, one
+# sparse vector. Spark stops compiling a stage with more than 100 columns.
+WIDE_CATEGORIES = 50
 
 
 def category_vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct non-NULL categories: column, position in sorted order, value as text.
 
     Integers sort as numbers, text by code point. All columns are collected in one
-    pass, and each task keeps only its distinct pairs before the shuffle.
+    pass, and each task keeps only its distinct pairs before the shuffle. Each entry
+    becomes a feature, so the result is as small as the model.
     """
     entries = []
     for c in columns:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tillcast.functions import key_from_date
 from tillcast.sources.star import StarSchema
+from tillcast.staging import stage
 
 # Month * 100 + day of the days flagged as holidays.
 HOLIDAYS = (101, 204, 413, 414, 501, 1225)
@@ -58,6 +59,8 @@ def retail_star(spark: SparkSession, folder: str) -> StarSchema:
         .otherwise(0)
         .alias("IsHolidaySL"),
     ).distinct()
+    # A few thousand days out of all orders: derived once, then read as a small table.
+    dates = stage(dates, "dim_date")
 
     territories = table("region").select(
         F.col("r_regionkey").alias("TerritoryKey"), F.col("r_name").alias("TerritoryName")
