@@ -301,25 +301,28 @@ def holdout_split_query(star: StarSchema) -> DataFrame:
 
 # -- jobs -----------------------------------------------------------------------------
 
-Trainer = Callable[[StarSchema, str], str]
-_trained_paths: dict[tuple[str, str, str], str] = {}
+Mart = Callable[[StarSchema], DataFrame]
+_ready: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
 
-def _trained(star: StarSchema, folder: str, trainer: Trainer) -> str:
-    """Train once per data folder and session; later queries score the stored model."""
-    spark = star.fact.sparkSession
-    key = (spark.sparkContext.applicationId, folder, trainer.__name__)
-    if key not in _trained_paths:
-        path = scratch_path(spark, trainer.__name__)
-        trainer(star, path)
-        _trained_paths[key] = path
-    return _trained_paths[key]
+def _job(
+    build: Mart, trainer: Callable[..., str], score: Callable[[StarSchema, str, DataFrame], DataFrame]
+) -> Query:
+    """Store the mart and train on it once per session and data folder, then score.
 
+    Training and scoring read the stored mart, so the fact table is aggregated once.
+    """
 
-def _job(trainer: Trainer, score: Callable[[StarSchema, str], DataFrame]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         star = _star(spark, folder)
-        return score(star, _trained(star, folder, trainer))
+        key = (spark.sparkContext.applicationId, folder, trainer.__name__)
+        if key not in _ready:
+            mart = stage(build(star), build.__name__)
+            path = scratch_path(spark, trainer.__name__)
+            trainer(star, path, mart=mart)
+            _ready[key] = (mart, path)
+        mart, path = _ready[key]
+        return score(star, path, mart)
 
     return run
 
@@ -372,35 +375,55 @@ QUERIES: dict[str, Query] = {
     "align_columns": _over_star(align_columns_query),
     "holdout_split": _over_star(holdout_split_query),
     "forecast_sales": _job(
-        tc.train_sales, lambda star, path: tc.forecast_sales(star, path, YEAR)
+        tc.monthly_sales,
+        tc.train_sales,
+        lambda star, path, mart: tc.forecast_sales(star, path, YEAR, mart=mart),
     ),
     "forecast_sales_one_month": _job(
-        tc.train_sales, lambda star, path: tc.forecast_sales(star, path, YEAR, month=7)
+        tc.monthly_sales,
+        tc.train_sales,
+        lambda star, path, mart: tc.forecast_sales(star, path, YEAR, month=7, mart=mart),
     ),
     "forecast_demand": _job(
-        tc.train_demand, lambda star, path: tc.forecast_demand(star, path, YEAR)
+        tc.monthly_demand,
+        tc.train_demand,
+        lambda star, path, mart: tc.forecast_demand(star, path, YEAR, mart=mart),
     ),
+    # From the star: the mart is aggregated anew.
     "forecast_demand_default_year": _job(
-        tc.train_demand, lambda star, path: tc.forecast_demand(star, path)
+        tc.monthly_demand, tc.train_demand, lambda star, path, mart: tc.forecast_demand(star, path)
     ),
     "forecast_sales_forest": _job(
-        tc.train_sales_forest, lambda star, path: tc.forecast_sales_forest(star, path, YEAR)
+        tc.monthly_sales,
+        tc.train_sales_forest,
+        lambda star, path, mart: tc.forecast_sales_forest(star, path, YEAR, mart=mart),
     ),
     "forecast_regional": _job(
-        tc.train_regional, lambda star, path: tc.forecast_regional(star, path, YEAR)
+        tc.regional_monthly,
+        tc.train_regional,
+        lambda star, path, mart: tc.forecast_regional(star, path, YEAR, mart=mart),
     ),
     "forecast_regional_one_territory": _job(
+        tc.regional_monthly,
         tc.train_regional,
-        lambda star, path: tc.forecast_regional(star, path, YEAR, territory="EUROPE"),
+        lambda star, path, mart: tc.forecast_regional(
+            star, path, YEAR, territory="EUROPE", mart=mart
+        ),
     ),
     "score_customers": _job(
-        tc.train_customer, lambda star, path: tc.score_customers(star, path)
+        tc.customer_monthly,
+        tc.train_customer,
+        lambda star, path, mart: tc.score_customers(star, path, mart=mart),
     ),
+    # From the star: the year filter reaches the scans.
     "score_customers_in_year": _job(
+        tc.customer_monthly,
         tc.train_customer,
-        lambda star, path: tc.score_customers(star, path, year=LAST_FULL_YEAR),
+        lambda star, path, mart: tc.score_customers(star, path, year=LAST_FULL_YEAR),
     ),
     "top_customers": _job(
-        tc.train_customer, lambda star, path: tc.score_customers(star, path, top_n=10)
+        tc.customer_monthly,
+        tc.train_customer,
+        lambda star, path, mart: tc.score_customers(star, path, top_n=10, mart=mart),
     ),
 }

@@ -1,5 +1,7 @@
 """The ten jobs: arguments, errors, least squares against numpy, forest properties."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -12,7 +14,7 @@ from tillcast.operators.customers import next_purchase_label
 from tillcast.operators.profiles import future_from_profile
 from tillcast.plans.features import LINEAR_FEATURES
 from tillcast.plans.models import ForestSettings, above_half
-from tillcast.staging import stage
+from tillcast.staging import scratch_root, stage
 
 SMALL = ForestSettings(trees=10, depth=4, bins=32)
 
@@ -168,6 +170,31 @@ def test_unfinished_training_run_is_ignored(retail, marts, tmp_path):
     assert rows(tc.forecast_sales(retail, path, 2002, mart=marts["sales"])) == expected
 
 
+def test_stored_model_holds_scaler_categories_and_columns(spark, models):
+    path = f"{models['customer']}/*"
+    scaler = rows(spark.read.parquet(f"{path}/scaler"), "column")
+    assert scaler == [("Month",), ("TotalQuantity",), ("TotalSpent",), ("Year",)]
+    words = spark.read.parquet(f"{path}/vocabulary")
+    assert rows(words.filter("column = 'EmailPromotion'"), "position", "value") == [
+        (0, "0"),
+        (1, "1"),
+        (2, "2"),
+    ]
+    manifest = spark.read.parquet(f"{path}/manifest").first()
+    features = manifest["features"]
+    assert features[:5] == ["Year", "Month", "TotalSpent", "TotalQuantity", "PurchaseCount"]
+    assert "Gender_BUILDING" in features and "Gender_AUTOMOBILE" not in features
+    assert "EmailPromotion_1" in features and "EmailPromotion_0" not in features
+
+
+def test_training_from_the_star_clears_its_tables(retail, spark, tmp_path):
+    root = Path(scratch_root(spark)) / "tillcast"
+    before = set(root.iterdir())
+    tc.train_regional(retail, str(tmp_path), settings=SMALL)
+    assert set(root.iterdir()) == before
+    assert tc.forecast_regional(retail, str(tmp_path), 2002, month=1, territory="ASIA").count() == 1
+
+
 def test_base_year_is_the_fitted_one(spark, retail, marts, models):
     """An earlier backfill does not shift the month index of a trained model."""
     history = marts["sales"]

@@ -1,12 +1,15 @@
 """The ten jobs: a trainer and a scorer for each of the five models.
 
 Every job takes the star and builds the mart it needs, or takes the mart as ``mart=``
-when one is stored, which saves the pass over the fact table. Trainers run at once
-and return the name of the model version written. Scorers return a DataFrame.
+when one is stored, which saves the pass over the fact table: it is then read several
+times as it is. Trainers run at once and return the name of the model version written.
+Scorers return a DataFrame.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
@@ -54,7 +57,8 @@ from tillcast.staging import stage, staged
 
 def train_sales(star: StarSchema, path: str, mart: DataFrame | None = None) -> str:
     """Fit monthly sales (money) by least squares."""
-    return _train_linear("sales", mart or monthly_sales(star), "TotalSales", path)
+    with _history(mart, lambda: monthly_sales(star), "monthly_sales") as history:
+        return _train_linear("sales", history, "TotalSales", path)
 
 
 def forecast_sales(
@@ -76,7 +80,8 @@ def forecast_sales(
 
 def train_demand(star: StarSchema, path: str, mart: DataFrame | None = None) -> str:
     """Fit monthly demand (units) by least squares."""
-    return _train_linear("demand", mart or monthly_demand(star), "TotalQty", path)
+    with _history(mart, lambda: monthly_demand(star), "monthly_demand") as history:
+        return _train_linear("demand", history, "TotalQty", path)
 
 
 def forecast_demand(
@@ -105,7 +110,7 @@ def train_sales_forest(
     settings: ForestSettings = REGRESSION_FOREST,
 ) -> str:
     """Fit monthly sales by a forest on four fifths of the months."""
-    with staged(mart or monthly_sales(star), "monthly_sales") as history:
+    with _history(mart, lambda: monthly_sales(star), "monthly_sales") as history:
         train, _ = holdout_split(history, ["Year", "Month", "Quarter", "IsHolidaySL"])
         pipeline = fit_forest_regression(train, FOREST_FEATURES, "TotalSales", settings)
         model = TrainedModel("sales_forest", pipeline, list(FOREST_FEATURES))
@@ -136,7 +141,7 @@ def train_regional(
     settings: ForestSettings = REGRESSION_FOREST,
 ) -> str:
     """Fit units by territory and month with a forest."""
-    with staged(mart or regional_monthly(star), "regional_monthly") as history:
+    with _history(mart, lambda: regional_monthly(star), "regional_monthly") as history:
         base_year = year_bounds(history).first()["MinYear"]
         with staged(category_vocabulary(history, ["TerritoryName"]), "vocabulary") as words:
             encoded = regional_features(history, words, base_year)
@@ -242,16 +247,27 @@ def score_customers(
     return scored.orderBy(F.desc("PurchaseProbability"), "CustomerKey").limit(top_n)
 
 
-def _train_linear(kind: str, mart: DataFrame, label: str, path: str) -> str:
-    with staged(mart, f"monthly_{kind}") as history:
-        base_year = year_bounds(history).first()["MinYear"]
-        if base_year is None:
-            raise UntrainableData("the history is empty")
-        dated = with_month_index(history, base_year)
-        scaler = Scaler.fit(dated, LINEAR_FEATURES)
-        pipeline = fit_least_squares(scaler.transform(dated), LINEAR_FEATURES, label)
-        model = TrainedModel(kind, pipeline, list(LINEAR_FEATURES), base_year, scaler)
-        return save_model(history.sparkSession, path, model)
+@contextmanager
+def _history(
+    mart: DataFrame | None, build: Callable[[], DataFrame], label: str
+) -> Iterator[DataFrame]:
+    """The stored mart, or one built and staged for the time of the training."""
+    if mart is not None:
+        yield mart
+    else:
+        with staged(build(), label) as built:
+            yield built
+
+
+def _train_linear(kind: str, history: DataFrame, label: str, path: str) -> str:
+    base_year = year_bounds(history).first()["MinYear"]
+    if base_year is None:
+        raise UntrainableData("the history is empty")
+    dated = with_month_index(history, base_year)
+    scaler = Scaler.fit(dated, LINEAR_FEATURES)
+    pipeline = fit_least_squares(scaler.transform(dated), LINEAR_FEATURES, label)
+    model = TrainedModel(kind, pipeline, list(LINEAR_FEATURES), base_year, scaler)
+    return save_model(history.sparkSession, path, model)
 
 
 def _forecast_linear(
