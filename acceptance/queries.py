@@ -72,8 +72,15 @@ def _rounded(df: DataFrame) -> DataFrame:
     )
 
 
+_stars: dict[tuple[str, str], StarSchema] = {}
+
+
 def _star(spark: SparkSession, folder: str) -> StarSchema:
-    return tc.retail_star(spark, folder)
+    """One star per session and data folder: its calendar is derived and measured once."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _stars:
+        _stars[key] = tc.retail_star(spark, folder)
+    return _stars[key]
 
 
 def _over_star(build: Callable[[StarSchema], DataFrame]) -> Query:
