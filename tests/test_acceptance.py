@@ -35,5 +35,5 @@ def test_query(spark, name):
 
 def test_entry(spark):
     assert driver.entry(spark).count() > 0
-    assert driver.queries().keys() == QUERIES.keys()
-    assert driver.oracle_sql().keys() == ORACLES.keys()
+    assert driver.queries().keys() >= QUERIES.keys()
+    assert driver.oracle_sql().keys() >= ORACLES.keys()
