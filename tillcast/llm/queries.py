@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillcast.llm.mixing import poisson_mix
 from tillcast.llm.packing import pack_documents
 from tillcast.llm.secrets import find_secrets
+from tillcast.llm.substring import remove_repeated
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,10 @@ def op3_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(documents(spark, folder))
 
 
+def op6_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeated(documents(spark, folder), with_text=False).drop("kept")
+
+
 def op8_certified_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), TOKENIZER, CAPACITY)
 
@@ -38,6 +43,7 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_guess_cost": op3_guess_cost,
+    "op6_suffix_automata": op6_suffix_automata,
     "op8_certified_packing": op8_certified_packing,
     "op10_poisson_mix": op10_poisson_mix,
 }
