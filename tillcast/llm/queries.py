@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tillcast.llm.mixing import poisson_mix
+from tillcast.llm.order_minhash import near_duplicates
 from tillcast.llm.packing import pack_documents
 from tillcast.llm.secrets import find_secrets
 from tillcast.llm.substring import remove_repeated
@@ -25,6 +26,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder))
+
+
 def op3_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(documents(spark, folder))
 
@@ -42,6 +47,7 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_order_minhash": op1_order_minhash,
     "op3_guess_cost": op3_guess_cost,
     "op6_suffix_automata": op6_suffix_automata,
     "op8_certified_packing": op8_certified_packing,
