@@ -293,7 +293,9 @@ def find_secrets(docs: DataFrame, strong: float = STRONG) -> DataFrame:
     ten of guesses among values in a credential's context (null without any)."""
     scanned = stage(scan(docs).withColumn("uid", F.monotonically_increasing_id()), "scanned")
     found = scanned.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
-    costs = value_costs(found.select("value").distinct(), word_counts(docs))
+    # Written once: both the total and the look-up read it.
+    counts = stage(word_counts(docs), "words")
+    costs = value_costs(found.select("value").distinct(), counts)
     added = (
         found.join(costs, "value")
         .groupBy("uid")
