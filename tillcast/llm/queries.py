@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tillcast.llm.fixity import audit
+from tillcast.llm.metric_join import metric_components
 from tillcast.llm.mixing import poisson_mix
 from tillcast.llm.order_minhash import near_duplicates
 from tillcast.llm.packing import pack_documents
@@ -30,6 +33,21 @@ def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder))
 
 
+def op2_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Archives of 500 page numbers, against a replica in which some bodies have decayed and
+    the last page of some archives is lost (both by digest, so they follow the data)."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    decayed = F.when(mark == "00", F.concat("html", F.lit(" "))).otherwise(F.col("html"))
+    lost = (F.col("page_id") % 500 == 499) & (mark >= "80")
+    replica = pages.withColumn("html", decayed).filter(~F.coalesce(lost, F.lit(False)))
+    return audit(pages, replica, F.floor(F.col("page_id") / 500))
+
+
+def op4_metric_join(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_components(spark.read.parquet(f"{folder}/embeddings.parquet"), 0.98)
+
+
 def op3_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(documents(spark, folder))
 
@@ -48,6 +66,8 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_merkle_fixity": op2_merkle_fixity,
+    "op4_metric_join": op4_metric_join,
     "op3_guess_cost": op3_guess_cost,
     "op6_suffix_automata": op6_suffix_automata,
     "op8_certified_packing": op8_certified_packing,
@@ -81,4 +101,60 @@ SELECT doc_id, text, lang, source, n_chars, unnest(range(n))::INTEGER AS copy
 FROM counted WHERE n > 0 AND rate > 0
 """
 
-ORACLES: dict[str, str] = {"op10_poisson_mix": _POISSON}
+_LINKS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e)
+    / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), reach AS (
+  SELECT vec_id AS node, vec_id AS seen FROM v
+  UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+), smallest AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id,
+  vec_id = component_id AS kept
+FROM v JOIN smallest ON node = vec_id
+"""
+
+#: The tree of archives of up to 500 records: leaves, 32 ranges, 2 ranges and, if any archive
+#: has both, the root.
+_FIXITY = """
+WITH bytes AS (
+  SELECT floor(page_id / 500)::BIGINT AS archive, page_id, url,
+    'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: ' || coalesce(url, '')
+    || '\r\nContent-Length: ' || strlen(coalesce(html, '')) || '\r\n\r\n' || coalesce(html, '')
+    || '\r\n\r\n' AS record,
+    substr(md5(page_id::VARCHAR), 1, 2) AS mark
+  FROM pages
+), leaf AS (
+  SELECT archive, row_number() OVER o - 1 AS nth, page_id, strlen(record) AS length,
+    (sum(strlen(record)) OVER o - strlen(record))::BIGINT AS offset, sha256(record) AS digest, mark
+  FROM bytes WINDOW o AS (PARTITION BY archive ORDER BY page_id, url, sha256(record))
+), l0 AS (
+  SELECT archive, nth, sha256(concat_ws(':', "offset", length, digest)) AS hash FROM leaf
+), l1 AS (
+  SELECT archive, nth // 16 AS nth, sha256(string_agg(hash, '' ORDER BY l0.nth)) AS hash
+  FROM l0 GROUP BY archive, l0.nth // 16
+), l2 AS (
+  SELECT archive, nth // 16 AS nth, sha256(string_agg(hash, '' ORDER BY l1.nth)) AS hash
+  FROM l1 GROUP BY archive, l1.nth // 16
+), l3 AS (
+  SELECT archive, CASE WHEN (SELECT max(nth) FROM l2) = 0 THEN min(hash)
+    ELSE sha256(string_agg(hash, '' ORDER BY l2.nth)) END AS root FROM l2 GROUP BY archive
+), moved AS (
+  SELECT *, coalesce(max(CASE WHEN mark = '00' THEN 1 ELSE 0 END) OVER (
+    PARTITION BY archive ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shifted
+  FROM leaf
+)
+SELECT m.archive, nth, "offset", length, page_id, digest, root,
+  CASE WHEN page_id % 500 = 499 AND mark >= '80' THEN 'missing'
+    WHEN mark = '00' OR shifted = 1 THEN 'changed' ELSE 'same' END AS state
+FROM moved m JOIN l3 ON m.archive = l3.archive
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_merkle_fixity": _FIXITY,
+    "op4_metric_join": _LINKS,
+    "op10_poisson_mix": _POISSON,
+}
