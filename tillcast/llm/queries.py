@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.llm.decision_list import quality_rules
 from tillcast.llm.fixity import audit
 from tillcast.llm.metric_join import metric_components
 from tillcast.llm.mixing import poisson_mix
@@ -52,6 +53,11 @@ def op3_guess_cost(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(documents(spark, folder))
 
 
+def op5_decision_list(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality_rules(documents(spark, folder), labels)
+
+
 def op6_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated(documents(spark, folder), with_text=False).drop("kept")
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op2_merkle_fixity": op2_merkle_fixity,
     "op4_metric_join": op4_metric_join,
     "op3_guess_cost": op3_guess_cost,
+    "op5_decision_list": op5_decision_list,
     "op6_suffix_automata": op6_suffix_automata,
     "op8_certified_packing": op8_certified_packing,
     "op10_poisson_mix": op10_poisson_mix,
