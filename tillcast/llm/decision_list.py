@@ -32,7 +32,7 @@ WINDOW = 8
 SPACE = " \t\n\x0b\x0c\r"
 #: Cut points of a statistic; conditions of a rule; rules; least share of bad documents and
 #: least number of them under a rule in the pruning part.
-CUTS, CONDITIONS, RULES, PRECISION, SUPPORT = 24, 4, 12, 0.9, 5
+CUTS, CONDITIONS, RULES, PRECISION, SUPPORT = 24, 4, 12, 0.97, 5
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -96,7 +96,6 @@ def statistics(docs: DataFrame) -> DataFrame:
                 F.size(w).cast("long").alias("n_words"),
                 F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
                 _repeat_words(h).cast("long").alias("n_repeat_words"),
-                F.size(F.array_distinct(h)).cast("long").alias("n_different"),
             ),
         ),
     )
@@ -122,7 +121,7 @@ def _share(part: str, whole: str) -> Column:
 
 
 def features() -> dict[str, Column]:
-    """Statistics that do not depend on a text's length, by name."""
+    """What rules may ask about: shares, which do not grow or fall with a text's length."""
     return {
         "repeat_share": _share("n_repeat_words", "n_words"),
         "dup_line_share": _share("n_dup_lines", "n_lines"),
@@ -130,7 +129,6 @@ def features() -> dict[str, Column]:
         "capital_share": _share("n_capitals", "word_chars"),
         "marks_per_word": _share("n_marks", "n_words"),
         "mean_word_length": _share("word_chars", "n_words"),
-        "different_share": _share("n_different", "n_words"),
         "words_per_line": _share("n_words", "n_lines"),
     }
 
