@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from tillcast.llm.decision_list import quality_rules
 from tillcast.llm.fixity import audit
+from tillcast.llm.licenses import TEMPLATES, scan_licences
 from tillcast.llm.metric_join import metric_components
 from tillcast.llm.mixing import poisson_mix
 from tillcast.llm.order_minhash import near_duplicates
 from tillcast.llm.packing import pack_documents
 from tillcast.llm.secrets import find_secrets
 from tillcast.llm.substring import remove_repeated
+from tillcast.llm.weak_labels import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,10 +64,19 @@ def op6_suffix_automata(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeated(documents(spark, folder), with_text=False).drop("kept")
 
 
+def op7_licence_inheritance(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents lie in a directory for their source and language."""
+    return scan_licences(documents(spark, folder), F.concat_ws("/", "source", "lang", "doc_id"))
+
+
 def op8_certified_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), TOKENIZER, CAPACITY)
 
 
+def op9_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(documents(spark, folder))
+
+
 def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return poisson_mix(documents(spark, folder), WEIGHTS, SEED, default_weight=1.0)
 
@@ -77,7 +88,9 @@ QUERIES: dict[str, Query] = {
     "op3_guess_cost": op3_guess_cost,
     "op5_decision_list": op5_decision_list,
     "op6_suffix_automata": op6_suffix_automata,
+    "op7_licence_inheritance": op7_licence_inheritance,
     "op8_certified_packing": op8_certified_packing,
+    "op9_weak_labels": op9_weak_labels,
     "op10_poisson_mix": op10_poisson_mix,
 }
 
@@ -160,8 +173,65 @@ SELECT m.archive, nth, "offset", length, page_id, digest, root,
 FROM moved m JOIN l3 ON m.archive = l3.archive
 """
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LICENCES = f"""
+WITH notice AS (
+  SELECT * FROM (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in TEMPLATES.items())})
+    t(licence, notice)
+), rows AS (
+  SELECT row_number() OVER () AS uid, doc_id, concat_ws('/', source, lang, doc_id) AS path,
+    concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text FROM documents
+), line AS (
+  SELECT uid, unnest(string_split(text, chr(10))) AS line FROM rows
+), header AS (
+  SELECT * FROM line WHERE regexp_matches(line,
+    '(?i)licen[cs]e|copyright|spdx|warrant|redistribut|public domain')
+), lines AS (SELECT line, count(*) AS n FROM header GROUP BY line
+), total AS (SELECT coalesce(sum(n), 0) AS total FROM lines
+), term AS (
+  SELECT line, n, term, count(*) AS tf FROM (
+    SELECT line, n, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM lines
+  ) GROUP BY line, n, term
+), rare AS (SELECT term, sum(n) AS df FROM term GROUP BY term
+), ours AS (
+  SELECT line, term, tf * (ln((1 + total)::DOUBLE / (1 + df)) + 1) AS w
+  FROM term JOIN rare USING (term), total
+), theirs AS (
+  SELECT licence, term, tf * (ln((1 + total)::DOUBLE / (1 + coalesce(df, 0))) + 1) AS w
+  FROM (SELECT licence, term, count(*) AS tf FROM (
+    SELECT licence, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS term FROM notice
+  ) GROUP BY licence, term) LEFT JOIN rare USING (term), total
+), one AS (SELECT line, sqrt(sum(w * w)) AS norm FROM ours GROUP BY line
+), two AS (SELECT licence, sqrt(sum(w * w)) AS norm FROM theirs GROUP BY licence
+), near AS (
+  SELECT line, licence, round(sum(o.w * t.w) / (any_value(one.norm) * any_value(two.norm)), 6) AS cosine
+  FROM ours o JOIN theirs t USING (term) JOIN one USING (line) JOIN two USING (licence)
+  GROUP BY line, licence
+), named AS (
+  SELECT line, licence, cosine FROM near WHERE cosine >= 0.5
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY cosine DESC, licence) = 1
+), own AS (
+  SELECT uid, arg_min(licence, (-cosine, licence)) AS own, max(cosine) AS cosine,
+    sum(len(regexp_extract_all(lower(line), '[a-z0-9]+'))) AS own_terms
+  FROM header JOIN named USING (line) GROUP BY uid
+), told AS (
+  SELECT doc_id, path, dir, own, cosine, coalesce(own_terms >=
+    1/3::DOUBLE * len(regexp_extract_all(lower(text), '[a-z0-9]+')), false) AS is_file
+  FROM rows LEFT JOIN own USING (uid)
+), held AS (
+  SELECT dir, arg_min(own, (-cosine, own)) AS licence FROM told WHERE is_file GROUP BY dir
+)
+SELECT doc_id, path, own AS own_licence, cosine, is_file, coalesce(own, held.licence) AS licence,
+  CASE WHEN own IS NULL THEN held.dir END AS inherited_from
+FROM told LEFT JOIN held ON told.dir = held.dir
+"""
+
 ORACLES: dict[str, str] = {
     "op2_merkle_fixity": _FIXITY,
     "op4_metric_join": _LINKS,
+    "op7_licence_inheritance": _LICENCES,
     "op10_poisson_mix": _POISSON,
 }
