@@ -6,8 +6,9 @@ in text order: equal picks in equal order mean that the texts share runs in sequ
 follows edit similarity and not only the set of words. Texts with an equal sketch meet in
 a bucket. A bucket elects a leader; the others are aligned with it, and those that are no
 near copies go on: they are put into buckets of two equal sketches, which elect leaders
-again, round after round, until no bucket holds two texts. So a bucket of n copies costs n
-alignments, and no bucket is cut off.
+again, four times as many in each round, until every text is linked with a leader of its
+bucket or was one. So a bucket of n copies costs n alignments, unlike texts of a bucket meet
+each other in a number of rounds that grows with its logarithm, and no bucket is cut off.
 
 A candidate counts if a banded alignment matches at least ``least`` of the longer text's
 words in order. The band is as wide as that many words allow, so it never misses a match.
@@ -168,7 +169,7 @@ def matched_words(a: np.ndarray, b: np.ndarray, least: int) -> int:
 
 
 def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The ``pairs`` (nodes a and b) whose texts align, with ``share`` of words matched."""
+    """Those of ``pairs`` (nodes a and b) whose texts align, and the share matched."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, np.empty(0, np.uint64)
@@ -206,32 +207,41 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _pairs(buckets: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame]:
-    """Members of shared buckets with their leader, and leader-member pairs, each once."""
+    """Members of shared buckets that lead none, and pairs of leader and member, each once.
+
+    A bucket has one leader in the first round and four times as many in each further one.
+    Leaders are chosen by hash, and meet the members that come after them.
+    """
     turn = F.struct(F.xxhash64("bucket", "node", F.lit(round_no)).alias("turn"), "node")
-    led = buckets.groupBy("bucket").agg(F.min(turn).alias("first"), F.count("*").alias("size"))
-    led = stage(
-        led.filter("size > 1").select("bucket", F.col("first.node").alias("leader")), "led"
+    sizes = buckets.groupBy("bucket").agg(F.min(turn).alias("first"), F.count("*").alias("size"))
+    sizes = stage(sizes.filter("size > 1"), "sizes")
+    share = F.lit(float(4**round_no)) / F.col("size")
+    leads = (turn == F.col("first")) | (
+        (F.col("turn.turn").cast("double") / 2.0**64 + 0.5 < share) & F.lit(round_no > 0)
+    )
+    seated = buckets.withColumn("turn", turn).join(sizes, "bucket")
+    seated = stage(seated.withColumn("leads", leads).drop("first", "size"), "seated")
+    leaders = seated.filter("leads").select(
+        "bucket", F.col("turn").alias("before"), F.col("node").alias("a")
     )
-    members = stage(buckets.join(led, "bucket").filter("node != leader"), "members")
-    pairs = members.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    return members, pairs
+    met = seated.withColumnRenamed("node", "b").join(leaders, "bucket")
+    pairs = met.filter("before < turn").select("bucket", "a", "b", "leads")
+    return seated.filter("NOT leads").select("bucket", "node"), stage(pairs, "pairs")
 
 
-def near_links(
-    sketches: DataFrame, docs: DataFrame, least: float
-) -> DataFrame:
+def near_links(sketches: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b, share) between different texts."""
     node = F.struct("k1", "k2").alias("node")
     buckets = sketches.select(node, F.explode("sketch").alias("bucket")).distinct()
-    members, pairs = _pairs(buckets, 0)
-    involved = members.select("node").union(members.select(F.col("leader"))).distinct()
+    others, pairs = _pairs(buckets, 0)
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     rows = with_key(docs.select("text"))
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     texts = stage(
         texts.join(involved.select("node.*"), ["k1", "k2"], "left_semi"), "texts"
     )
-    links = stage(aligned(pairs, texts, least), "links")
-    rest = _unlinked(members, links)
+    links = stage(aligned(pairs.select("a", "b").distinct(), texts, least), "links")
+    rest = _unlinked(others, pairs, links)
     # Texts that are no copies of their leader: two equal sketches for the next meeting.
     lists = rest.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("own"))
     two = F.flatten(
@@ -245,19 +255,19 @@ def near_links(
     buckets = stage(lists.select("node", F.explode(two).alias("bucket")), "buckets")
     round_no = 1
     while True:
-        members, pairs = _pairs(buckets, round_no)
-        if members.isEmpty():
+        others, pairs = _pairs(buckets, round_no)
+        if pairs.isEmpty():
             return links
-        found = stage(aligned(pairs, texts, least), "links")
+        found = stage(aligned(pairs.select("a", "b").distinct(), texts, least), "links")
         links = links.unionByName(found)
-        buckets = stage(_unlinked(members, found).select("node", "bucket"), "buckets")
+        buckets = stage(_unlinked(others, pairs, found), "buckets")
         round_no += 1
 
 
-def _unlinked(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that their leader is not linked with."""
-    known = links.select(F.col("a").alias("leader"), F.col("b").alias("node"))
-    return members.join(known, ["leader", "node"], "left_anti")
+def _unlinked(others: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that none of the bucket's leaders is linked with."""
+    linked = pairs.join(links, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node"))
+    return others.join(linked.distinct(), ["bucket", "node"], "left_anti")
 
 
 def text_classes(
