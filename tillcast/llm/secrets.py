@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillcast.llm.substring import with_key
 from tillcast.llm.words import slices
 from tillcast.staging import stage
 
@@ -195,8 +196,8 @@ def guess_cost(value: str, words: Mapping[str, float]) -> float:
     return best[n]
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """Base results and context values of each row."""
+def scan(docs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Base results and context values of each row, with long columns ``more``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -219,13 +220,13 @@ def scan(docs: DataFrame) -> DataFrame:
                     pa.array(out["sha"], pa.string()),
                     pa.array(out["base"], pa.list_(span)),
                     pa.array(out["found"], pa.list_(value)),
+                    *(batch.column(name) for name in more),
                 ],
-                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "found"],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "found", *more],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        rows, SCANNED
-    )
+    picked = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *more)
+    return picked.mapInArrow(rows, SCANNED + "".join(f", {name} long" for name in more))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -287,28 +288,34 @@ def value_costs(values: DataFrame, counts: DataFrame) -> DataFrame:
     return values.join(known, "value", "left").mapInArrow(costed, "value string, cost double")
 
 
-def find_secrets(docs: DataFrame, strong: float = STRONG) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the counts and digest of base spans, all spans
-    as ``kind:start:end`` by start, how many the method added, and the greatest power of
-    ten of guesses among values in a credential's context (null without any)."""
-    scanned = stage(scan(docs).withColumn("uid", F.monotonically_increasing_id()), "scanned")
+def _text_rows(docs: DataFrame) -> DataFrame:
+    """What :func:`scan` says of each row, written down with a number for the row."""
+    return stage(scan(docs).withColumn("uid", F.monotonically_increasing_id()), "scanned")
+
+
+def _guessed(scanned: DataFrame, docs: DataFrame, strong: float) -> DataFrame:
+    """uid, greatest cost and added spans of rows with values in a credential's context."""
     found = scanned.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
     # Written once: both the total and the look-up read it.
     counts = stage(word_counts(docs), "words")
     costs = value_costs(found.select("value").distinct(), counts)
-    added = (
+    span = F.struct("at", F.lit(3).alias("rank"), "stop")
+    return (
         found.join(costs, "value")
         .groupBy("uid")
         .agg(
             F.max("cost").alias("max_cost"),
-            F.collect_list(
-                F.when(
-                    F.col("cost") >= strong,
-                    F.struct("at", F.lit(3).alias("rank"), "stop"),
-                )
-            ).alias("guessed"),
+            F.collect_list(F.when(F.col("cost") >= strong, span)).alias("guessed"),
         )
     )
+
+
+def find_secrets(docs: DataFrame, strong: float = STRONG) -> DataFrame:
+    """One row per row of ``docs``: doc_id, the counts and digest of base spans, all spans
+    as ``kind:start:end`` by start, how many the method added, and the greatest power of
+    ten of guesses among values in a credential's context (null without any)."""
+    scanned = _text_rows(docs)
+    added = _guessed(scanned, docs, strong)
     none = F.array().cast(f"array<{SPAN}>")
     guessed = F.coalesce("guessed", none)
     ordered = F.sort_array(F.concat("base", guessed))
@@ -326,3 +333,59 @@ def find_secrets(docs: DataFrame, strong: float = STRONG) -> DataFrame:
         F.size(guessed).cast("long").alias("n_guess"),
         F.round("max_cost", 6).alias("guess_power"),
     )
+
+
+def mask_secrets(docs: DataFrame, strong: float = STRONG, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with all spans of secrets in ``text`` replaced by ``mark``, and ``n_chars``,
+    if there is one, set to the new length of those texts. Overlapping spans become one."""
+    # One row for each different text, so that the spans can be joined by content.
+    texts = with_key(docs.select("text"))
+    scanned = stage(
+        scan(texts.select(F.lit(None).alias("doc_id"), "text", "k1", "k2"), ("k1", "k2"))
+        .filter((F.size("base") > 0) | (F.size("found") > 0))
+        .dropDuplicates(["k1", "k2"])
+        .withColumn("uid", F.monotonically_increasing_id()),
+        "scanned",
+    )
+    none = F.array().cast(f"array<{SPAN}>")
+    spans = scanned.join(_guessed(scanned, docs, strong), "uid", "left").select(
+        "k1", "k2", F.sort_array(F.concat("base", F.coalesce("guessed", none))).alias("spans")
+    )
+    spans = stage(spans.filter(F.size("spans") > 0), "spans")
+
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, found in zip(
+                batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True
+            ):
+                parts, end = [], 0
+                for s in found:
+                    if s["at"] >= end:
+                        parts += [text[end : s["at"]], mark]
+                    end = max(end, s["stop"])
+                out.append("".join(parts) + text[end:])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("k1"), batch.column("k2"), pa.array(out, pa.string())],
+                ["k1", "k2", "masked"],
+            )
+
+    # Only texts with spans are rewritten and carried to their rows.
+    rewritten = stage(
+        texts.join(spans, ["k1", "k2"])
+        .groupBy("k1", "k2")
+        .agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+        .mapInArrow(mask, "k1 long, k2 long, masked string"),
+        "rewritten",
+    )
+    names = docs.columns
+    row = F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names))).alias("row")
+    joined = with_key(docs.select(row, "text")).join(rewritten, ["k1", "k2"], "left")
+    masked = F.col("masked")
+    new = {"text": masked, "n_chars": F.length(masked).cast("long")}
+    kept = []
+    for i, (name, kind) in enumerate(docs.dtypes):
+        own = F.col(f"row.c{i}")
+        value = F.when(masked.isNull(), own).otherwise(new[name].cast(kind)) if name in new else own
+        kept.append(value.alias(name))
+    return joined.select(*kept)
