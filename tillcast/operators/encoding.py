@@ -59,12 +59,15 @@ def indicator_names(vocabulary: Sequence[tuple[str, int, str]]) -> dict[str, tup
     name, so they become underscores; the position keeps clashing names apart.
     """
     names: dict[str, tuple[str, str]] = {}
+    taken: set[str] = set()
     for column, position, value in sorted(vocabulary, key=lambda entry: entry[:2]):
         if position == 0:
             continue
         name = f"{column}_{value}".replace(".", "_").replace("`", "_")
-        if name in names:
+        # Column names differ by more than case.
+        while name.lower() in taken:
             name = f"{name}_{position}"
+        taken.add(name.lower())
         names[name] = (column, value)
     return names
 

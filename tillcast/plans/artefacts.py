@@ -1,8 +1,9 @@
 """Fitted models on a shared file system, one directory per training run.
 
 ``<path>/<version>/`` holds ``pipeline``, ``scaler``, ``vocabulary`` and, written last,
-``manifest``. A run that fails midway leaves no manifest and is never picked up, and a
-scorer that runs during a retrain reads one whole version, never a mixture.
+``manifest``, which lists the other parts. A run that fails midway leaves no manifest and
+is never picked up, and a scorer that runs during a retrain reads one whole version, never
+a mixture.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ from pyspark.sql import functions as F
 from tillcast.errors import ModelNotTrained
 from tillcast.operators.scaling import SCALER_SCHEMA, Scaler
 
-MANIFEST_SCHEMA = "version string, kind string, base_year int, features array<string>"
+MANIFEST_SCHEMA = (
+    "version string, kind string, base_year int, features array<string>, parts array<string>"
+)
 VOCABULARY_SCHEMA = "column string, position int, value string"
 
 
@@ -42,7 +45,8 @@ def save_model(spark: SparkSession, path: str, model: TrainedModel) -> str:
         model.scaler.to_df(spark).write.parquet(f"{target}/scaler")
     if model.vocabulary is not None:
         model.vocabulary.write.parquet(f"{target}/vocabulary")
-    manifest = [(version, model.kind, model.base_year, model.features)]
+    parts = ["scaler"] * bool(model.scaler.stats) + ["vocabulary"] * (model.vocabulary is not None)
+    manifest = [(version, model.kind, model.base_year, model.features, parts)]
     spark.createDataFrame(manifest, MANIFEST_SCHEMA).coalesce(1).write.parquet(
         f"{target}/manifest"
     )
@@ -50,7 +54,8 @@ def save_model(spark: SparkSession, path: str, model: TrainedModel) -> str:
 
 
 def load_model(spark: SparkSession, path: str, kind: str) -> TrainedModel:
-    """The newest completed version; raises :class:`ModelNotTrained` if there is none."""
+    """The newest completed version; raises :class:`ModelNotTrained` if there is none, or if
+    a part that its manifest lists is gone."""
     try:
         versions = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/*/manifest")
     except AnalysisException as error:
@@ -61,21 +66,26 @@ def load_model(spark: SparkSession, path: str, kind: str) -> TrainedModel:
     if newest is None:
         raise ModelNotTrained(f"no trained {kind} model under {path}")
     target = f"{path}/{newest['version']}"
-    scaler = _read_if_present(spark, f"{target}/scaler", SCALER_SCHEMA)
+    parts = newest["parts"] or []
+    read = {
+        name: _read_part(spark, f"{target}/{name}", schema)
+        for name, schema in (("scaler", SCALER_SCHEMA), ("vocabulary", VOCABULARY_SCHEMA))
+        if name in parts
+    }
     return TrainedModel(
         kind=kind,
         pipeline=PipelineModel.load(f"{target}/pipeline"),
         features=list(newest["features"]),
         base_year=newest["base_year"],
-        scaler=Scaler.from_df(scaler) if scaler is not None else Scaler({}),
-        vocabulary=_read_if_present(spark, f"{target}/vocabulary", VOCABULARY_SCHEMA),
+        scaler=Scaler.from_df(read["scaler"]) if "scaler" in read else Scaler({}),
+        vocabulary=read.get("vocabulary"),
     )
 
 
-def _read_if_present(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+def _read_part(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
+        raise ModelNotTrained(f"a part of the model is missing: {path}") from None

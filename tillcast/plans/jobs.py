@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.errors import UntrainableData
@@ -111,8 +111,11 @@ def train_sales_forest(
 ) -> str:
     """Fit monthly sales by a forest on four fifths of the months."""
     with _history(mart, lambda: monthly_sales(star), "monthly_sales") as history:
-        train, _ = holdout_split(history, ["Year", "Month", "Quarter", "IsHolidaySL"])
-        pipeline = fit_forest_regression(train, FOREST_FEATURES, "TotalSales", settings)
+        keys = ["Year", "Month", "Quarter", "IsHolidaySL"]
+        train, _ = holdout_split(history, keys)
+        if train.isEmpty():
+            raise UntrainableData("the history has no month in the training part")
+        pipeline = fit_forest_regression(train, FOREST_FEATURES, "TotalSales", settings, keys)
         model = TrainedModel("sales_forest", pipeline, list(FOREST_FEATURES))
         return save_model(history.sparkSession, path, model)
 
@@ -143,10 +146,16 @@ def train_regional(
     """Fit units by territory and month with a forest."""
     with _history(mart, lambda: regional_monthly(star), "regional_monthly") as history:
         base_year = year_bounds(history).first()["MinYear"]
+        if base_year is None:
+            raise UntrainableData("the history is empty")
         with staged(category_vocabulary(history, ["TerritoryName"]), "vocabulary") as words:
             encoded = regional_features(history, words, base_year)
             pipeline = fit_forest_regression(
-                encoded.frame, encoded.features, "TotalSales", settings
+                encoded.frame,
+                encoded.features,
+                "TotalSales",
+                settings,
+                ["TerritoryName", "Year", "Month"],
             )
             model = TrainedModel(
                 "regional", pipeline, encoded.features, base_year, vocabulary=words
@@ -202,7 +211,11 @@ def train_customer(
             encoded = customer_features(history, words)
             scaler = Scaler.fit(history, CUSTOMER_SCALED)
             pipeline = fit_forest_classification(
-                scaler.transform(encoded.frame), encoded.features, "NextPurchase", settings
+                scaler.transform(encoded.frame.withColumns(_kept_keys())),
+                encoded.features,
+                "NextPurchase",
+                settings,
+                list(_kept_keys()),
             )
             model = TrainedModel(
                 "customer", pipeline, encoded.features, scaler=scaler, vocabulary=words
@@ -222,7 +235,7 @@ def score_customers(
 
     Year and month are filtered before anything else, and the last month is picked
     before the forest runs. All customers come back unless ``top_n`` asks for the most
-    likely ones.
+    likely ones. Unlike in the forecasts, a month of 0 means every month here.
     """
     if month:
         chosen_months(month)
@@ -247,6 +260,11 @@ def score_customers(
     return scored.orderBy(F.desc("PurchaseProbability"), "CustomerKey").limit(top_n)
 
 
+def _kept_keys() -> dict[str, Column]:
+    """The key of a customer's month, which scaling leaves as it is."""
+    return {f"key_{c}": F.col(c) for c in ("CustomerKey", "Year", "Month")}
+
+
 @contextmanager
 def _history(
     mart: DataFrame | None, build: Callable[[], DataFrame], label: str

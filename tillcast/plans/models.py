@@ -28,12 +28,16 @@ class ForestSettings:
     bins: int
     # Histogram memory per task; more of it means fewer passes over the data.
     memory_mb: int = 1024
+    # Parts the rows are dealt to by key before the fit. Bootstrap draws go by part and
+    # place, so this number and the seed fix the forest on any cluster. A few times the
+    # cores for a large customer mart.
+    parts: int = 32
+    bootstrap: bool = True
 
 
-# Monthly and regional marts hold few rows, so finer bins than Spark's 32 are cheap and
-# bring the splits close to exact ones. Full depth (30) fits the regional history a
-# little closer and takes over three times as long.
-REGRESSION_FOREST = ForestSettings(trees=200, depth=10, bins=128)
+# Monthly and regional marts hold a few hundred rows at any fact size, so trees grow as
+# deep as Spark allows, with a bin for each value.
+REGRESSION_FOREST = ForestSettings(trees=200, depth=30, bins=1024)
 # The customer mart grows with the customers.
 CUSTOMER_FOREST = ForestSettings(trees=100, depth=10, bins=32)
 
@@ -64,9 +68,16 @@ def fit_least_squares(train: DataFrame, features: Sequence[str], label: str) ->
 
 
 def fit_forest_regression(
-    train: DataFrame, features: Sequence[str], label: str, settings: ForestSettings
+    train: DataFrame,
+    features: Sequence[str],
+    label: str,
+    settings: ForestSettings,
+    keys: Sequence[str],
 ) -> PipelineModel:
-    """Every split looks at all features, every tree at a bootstrap sample."""
+    """Every split looks at all features, every tree at a bootstrap sample.
+
+    ``keys`` tell the rows apart and fix their order.
+    """
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     forest = RandomForestRegressor(
         labelCol=label,
@@ -75,16 +86,21 @@ def fit_forest_regression(
         maxBins=settings.bins,
         featureSubsetStrategy="all",
         maxMemoryInMB=settings.memory_mb,
+        bootstrap=settings.bootstrap,
         seed=SEED,
     )
-    assembled = assembler.transform(train).select("features", label)
+    assembled = _dealt(assembler.transform(train), label, settings, keys)
     return PipelineModel([assembler, forest.fit(assembled)])
 
 
 def fit_forest_classification(
-    train: DataFrame, features: Sequence[str], label: str, settings: ForestSettings
+    train: DataFrame,
+    features: Sequence[str],
+    label: str,
+    settings: ForestSettings,
+    keys: Sequence[str],
 ) -> PipelineModel:
-    """Every split looks at a square-root sample of the features."""
+    """Every split looks at a square-root sample of the features; ``keys`` as above."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     forest = RandomForestClassifier(
         labelCol=label,
@@ -93,17 +109,20 @@ def fit_forest_classification(
         maxBins=settings.bins,
         featureSubsetStrategy="sqrt",
         maxMemoryInMB=settings.memory_mb,
+        bootstrap=settings.bootstrap,
         cacheNodeIds=True,
         seed=SEED,
     )
-    assembled = _spread(assembler.transform(train).select("features", label))
+    assembled = _dealt(assembler.transform(train), label, settings, keys)
     return PipelineModel([assembler, forest.fit(assembled)])
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Give every core a part of a small input; a large one has enough partitions."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def _dealt(
+    df: DataFrame, label: str, settings: ForestSettings, keys: Sequence[str]
+) -> DataFrame:
+    """Rows in parts and an order that follow from their keys and values alone."""
+    dealt = df.repartition(settings.parts, *keys)
+    return dealt.sortWithinPartitions(*keys, label, F.hash("features")).select("features", label)
 
 
 def rounded_prediction() -> Column:
