@@ -206,11 +206,12 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     )
 
 
-def _pairs(buckets: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame]:
+def _pairs(buckets: DataFrame, round_no: int, least: float) -> tuple[DataFrame, DataFrame]:
     """Members of shared buckets that lead none, and pairs of leader and member, each once.
 
     A bucket has one leader in the first round and four times as many in each further one.
-    Leaders are chosen by hash, and meet the members that come after them.
+    Leaders are chosen by hash, and meet the members that come after them. A text with less
+    than ``least`` of another's words can't match so many of them, so they never meet.
     """
     turn = F.struct(F.xxhash64("bucket", "node", F.lit(round_no)).alias("turn"), "node")
     sizes = buckets.groupBy("bucket").agg(F.min(turn).alias("first"), F.count("*").alias("size"))
@@ -222,18 +223,21 @@ def _pairs(buckets: DataFrame, round_no: int) -> tuple[DataFrame, DataFrame]:
     seated = buckets.withColumn("turn", turn).join(sizes, "bucket")
     seated = stage(seated.withColumn("leads", leads).drop("first", "size"), "seated")
     leaders = seated.filter("leads").select(
-        "bucket", F.col("turn").alias("before"), F.col("node").alias("a")
+        "bucket", F.col("turn").alias("before"), F.col("node").alias("a"), F.col("n").alias("n_a")
     )
     met = seated.withColumnRenamed("node", "b").join(leaders, "bucket")
-    pairs = met.filter("before < turn").select("bucket", "a", "b", "leads")
-    return seated.filter("NOT leads").select("bucket", "node"), stage(pairs, "pairs")
+    alike = F.least("n", "n_a") >= least * F.greatest("n", "n_a") - 1e-9
+    pairs = met.filter((F.col("before") < F.col("turn")) & alike).select("bucket", "a", "b")
+    return seated.filter("NOT leads").select("bucket", "node", "n"), stage(pairs, "pairs")
 
 
 def near_links(sketches: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """Verified links (a, b, share) between different texts."""
     node = F.struct("k1", "k2").alias("node")
-    buckets = sketches.select(node, F.explode("sketch").alias("bucket")).distinct()
-    others, pairs = _pairs(buckets, 0)
+    buckets = sketches.select(
+        node, F.col("n_words").alias("n"), F.explode("sketch").alias("bucket")
+    ).distinct()
+    others, pairs = _pairs(buckets, 0, least)
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     rows = with_key(docs.select("text"))
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
@@ -243,7 +247,7 @@ def near_links(sketches: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     links = stage(aligned(pairs.select("a", "b").distinct(), texts, least), "links")
     rest = _unlinked(others, pairs, links)
     # Texts that are no copies of their leader: two equal sketches for the next meeting.
-    lists = rest.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("own"))
+    lists = rest.groupBy("node", "n").agg(F.sort_array(F.collect_set("bucket")).alias("own"))
     two = F.flatten(
         F.transform(
             "own",
@@ -252,10 +256,10 @@ def near_links(sketches: DataFrame, docs: DataFrame, least: float) -> DataFrame:
             ),
         )
     )
-    buckets = stage(lists.select("node", F.explode(two).alias("bucket")), "buckets")
+    buckets = stage(lists.select("node", "n", F.explode(two).alias("bucket")), "buckets")
     round_no = 1
     while True:
-        others, pairs = _pairs(buckets, round_no)
+        others, pairs = _pairs(buckets, round_no, least)
         if pairs.isEmpty():
             return links
         found = stage(aligned(pairs.select("a", "b").distinct(), texts, least), "links")
@@ -283,7 +287,10 @@ def text_classes(
     own = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "k1", "k2")
     distinct = stage(
         rows.groupBy("k1", "k2").agg(
-            F.first("sketch").alias("sketch"), F.min(own).alias("own"), F.count("*").alias("n")
+            F.first("sketch").alias("sketch"),
+            F.first("n_words").alias("n_words"),
+            F.min(own).alias("own"),
+            F.count("*").alias("n"),
         ),
         "distinct",
     )
