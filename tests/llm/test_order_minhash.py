@@ -1,14 +1,17 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tillcast.llm.components import components
 from tillcast.llm.order_minhash import (
     labelled,
     matched_words,
     near_duplicates,
+    near_links,
     one_of_each,
     order_sketches,
+    sketched,
 )
 
 
@@ -113,3 +116,58 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a int, b int")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)}
     assert components(spark.createDataFrame([], "a int, b int")).collect() == []
+
+
+def same_classes(texts, links):
+    """Whether ``links`` (pairs of places) connect the texts as all matching pairs do."""
+    coded, known = [], {}
+    for text in texts:
+        coded.append(np.array([known.setdefault(w, len(known)) for w in text.split()], np.uint64))
+
+    def roots(pairs):
+        root = list(range(len(texts)))
+        for i, j in pairs:
+            if root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+        return root
+
+    every = [
+        (i, j) for i in range(len(texts)) for j in range(i)
+        if matched_words(coded[i], coded[j], -(-4 * max(len(coded[i]), len(coded[j])) // 5))
+    ]
+    expected = roots(every)
+    assert 1 < len(set(expected)) < len(texts)
+    return roots(links) == expected
+
+
+def one_bucket(spark, documents, texts):
+    """Links of texts whose only sketch is the same."""
+    docs = documents(texts)
+    sketches = sketched(docs, 3, 1, 2).withColumn("sketch", F.array(F.lit(1).cast("long")))
+    place = {(r.k1, r.k2): r.doc_id for r in sketches.collect()}
+    return [(place[tuple(r.a)], place[tuple(r.b)]) for r in near_links(sketches, docs, 0.8).collect()]
+
+
+def family(rng, copies, words=50):
+    """Copies of a text of which 10 to 20 percent of the words are edited, so that many match
+    few of the others."""
+    base = " ".join(f"b{rng.random()}" for _ in range(words))
+    return [edited(rng, base, rng.randint(words // 10, words // 5)) for _ in range(copies)]
+
+
+def chain(rng, steps, words=50):
+    """Texts that each match the one before and not the one before that."""
+    text, out = [f"v{rng.random()}" for _ in range(words)], []
+    for at in range(0, 9 * steps, 9):
+        out.append(" ".join(text))
+        for i in range(at, at + 9):
+            text[i % words] = f"n{rng.random()}"
+    return out
+
+
+def test_chains_and_families_in_a_bucket_are_whole(spark, documents):
+    rng = random.Random(3)
+    texts = [*family(rng, 300), *chain(rng, 12), *chain(rng, 30)]
+    rng.shuffle(texts)
+    assert same_classes(texts, one_bucket(spark, documents, texts))

@@ -4,11 +4,11 @@ A text's runs of ``run`` words are labelled with their occurrence, so repeats st
 Each of ``sketches`` hash orders picks the ``picked`` smallest labelled runs and keeps them
 in text order: equal picks in equal order mean that the texts share runs in sequence, which
 follows edit similarity and not only the set of words. Texts with an equal sketch meet in
-a bucket. A bucket elects a leader; the others are aligned with it, and those that are no
-near copies go on: they are put into buckets of two equal sketches, which elect leaders
-again, four times as many in each round, until every text is linked with a leader of its
-bucket or was one. So a bucket of n copies costs n alignments, unlike texts of a bucket meet
-each other in a number of rounds that grows with its logarithm, and no bucket is cut off.
+a bucket. A bucket elects a leader, and the others are aligned with it. In each further round
+more members lead, and meet those that are not in their class by then, until the bucket is
+one class or all its members led. So a bucket of n copies costs n alignments, an unlike text
+among them meets each of them, no bucket is cut off, and the classes are those of all matches
+within buckets. Pairs whose lengths or words rule out a match are not aligned.
 
 A candidate counts if a banded alignment matches at least ``least`` of the longer text's
 words in order. The band is as wide as that many words allow, so it never misses a match.
@@ -37,6 +37,8 @@ from tillcast.staging import stage
 
 #: Words of a run, sketches of a text, runs in a sketch, least share of matched words.
 RUN, SKETCHES, PICKED, LEAST = 5, 20, 2, 0.8
+#: Bits of a text's bag of words; leaders of a bucket in each round, for one in the round before.
+BAG, MORE = 1024, 16
 #: Numbers in the table of hash orders that is filled at once.
 BLOCK = 1 << 20
 
@@ -79,31 +81,42 @@ def order_sketches(runs: np.ndarray, sketches: int, picked: int) -> np.ndarray:
     return out
 
 
+def bag_bits(words: np.ndarray) -> np.ndarray:
+    """``BAG`` bits as 64-bit numbers, set where a word or a repeat of it falls."""
+    bits = np.zeros(BAG, dtype=np.uint8)
+    bits[(mixed(labelled(words, 1)) % np.uint64(BAG)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def sketched(docs: DataFrame, run: int, sketches: int, picked: int) -> DataFrame:
-    """doc_id, the text's key, its words and its sketches; a row for each of ``docs``."""
+    """doc_id, the text's key, its words, sketches and bag; a row for each of ``docs``."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             words, begins = split(batch.column("text"))
             hashed = hashes(words)
-            found = []
+            found, bags = [], []
             for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
                 runs = labelled(hashed[a:b], run)
                 found.append(order_sketches(runs, sketches, picked) if b > a else runs)
+                bags.append(bag_bits(hashed[a:b]))
             at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64)
+            ends = np.arange(len(bags) + 1, dtype=np.int32) * (BAG // 64)
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("doc_id", "k1", "k2")),
                     pa.array(np.diff(begins)),
                     pa.ListArray.from_arrays(pa.array(at), pa.array(flat)),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bags))),
                 ],
-                ["doc_id", "k1", "k2", "n_words", "sketch"],
+                ["doc_id", "k1", "k2", "n_words", "sketch", "bag"],
             )
 
     rows = with_key(docs.select(F.col("doc_id").cast("long"), "text"))
     return rows.mapInArrow(
-        sketch, "doc_id long, k1 long, k2 long, n_words long, sketch array<long>"
+        sketch,
+        "doc_id long, k1 long, k2 long, n_words long, sketch array<long>, bag array<long>",
     )
 
 
@@ -206,72 +219,90 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     )
 
 
-def _pairs(buckets: DataFrame, round_no: int, least: float) -> tuple[DataFrame, DataFrame]:
-    """Members of shared buckets that lead none, and pairs of leader and member, each once.
-
-    A bucket has one leader in the first round and four times as many in each further one.
-    Leaders are chosen by hash, and meet the members that come after them. A text with less
-    than ``least`` of another's words can't match so many of them, so they never meet.
-    """
-    turn = F.struct(F.xxhash64("bucket", "node", F.lit(round_no)).alias("turn"), "node")
-    sizes = buckets.groupBy("bucket").agg(F.min(turn).alias("first"), F.count("*").alias("size"))
-    sizes = stage(sizes.filter("size > 1"), "sizes")
-    share = F.lit(float(4**round_no)) / F.col("size")
-    leads = (turn == F.col("first")) | (
-        (F.col("turn.turn").cast("double") / 2.0**64 + 0.5 < share) & F.lit(round_no > 0)
+def _alike(n: Column, n_a: Column, bag: Column | None, bag_a: Column | None, least: float) -> Column:
+    """False only for texts that can't match ``least`` of the longer one's words: one is too
+    short, or too many of its words fall on bits of the bag that the other has not."""
+    need = least * F.greatest(n, n_a) - 1e-9
+    alike = F.least(n, n_a) >= need
+    if bag is None:
+        return alike
+    lacks = lambda x, y: sum(
+        (F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(BAG // 64)), F.lit(0)
     )
-    seated = buckets.withColumn("turn", turn).join(sizes, "bucket")
-    seated = stage(seated.withColumn("leads", leads).drop("first", "size"), "seated")
-    leaders = seated.filter("leads").select(
-        "bucket", F.col("turn").alias("before"), F.col("node").alias("a"), F.col("n").alias("n_a")
-    )
-    met = seated.withColumnRenamed("node", "b").join(leaders, "bucket")
-    alike = F.least("n", "n_a") >= least * F.greatest("n", "n_a") - 1e-9
-    pairs = met.filter((F.col("before") < F.col("turn")) & alike).select("bucket", "a", "b")
-    return seated.filter("NOT leads").select("bucket", "node", "n"), stage(pairs, "pairs")
+    return alike & (n - lacks(bag, bag_a) >= need) & (n_a - lacks(bag_a, bag) >= need)
+
+
+def _live(seated: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets that hold more than one class of ``links``, with their class
+    ``root``; and the classes as links of each node with its root."""
+    roots = stage(components(links), "components")
+    own = seated.drop("root").join(roots, "node", "left")
+    own = stage(own.withColumn("root", F.coalesce("root", "node")), "rooted")
+    mixed_up = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed_up = mixed_up.filter("low != high").select("bucket")
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return own.join(mixed_up, "bucket", "left_semi"), stars
 
 
 def near_links(sketches: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Verified links (a, b, share) between different texts."""
+    """Verified links (a, b) whose classes are those of all matches within buckets.
+
+    In the first round a bucket's members meet its leader, the first by hash. In each further
+    one the next members by hash, ``MORE`` times as many, lead and meet those after them that
+    are not in their class yet. A bucket is done when it is one class or all its members led,
+    so two members are compared or already in one class: no match within a bucket is lost.
+    """
     node = F.struct("k1", "k2").alias("node")
+    bags = sketches.select(node, F.col("n_words").alias("n"), "bag")
+    turn = F.xxhash64("node").alias("turn")
     buckets = sketches.select(
         node, F.col("n_words").alias("n"), F.explode("sketch").alias("bucket")
     ).distinct()
-    others, pairs = _pairs(buckets, 0, least)
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    first = F.min(F.struct(turn, "node", "n")).alias("first")
+    sizes = buckets.groupBy("bucket").agg(first, F.count("*").alias("size"))
+    sizes = stage(sizes.filter("size > 1"), "sizes")
+    seated = stage(buckets.select("*", turn).join(sizes, "bucket"), "seated")
+    met = seated.filter((F.col("node") != F.col("first.node")))
+    met = met.filter(_alike(F.col("n"), F.col("first.n"), None, None, least))
+    pairs = stage(met.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    for side in ("a", "b"):
+        own = bags.select(
+            F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bag").alias(f"bag_{side}")
+        )
+        pairs = pairs.join(own, side)
+    alike = _alike(F.col("n_a"), F.col("n_b"), F.col("bag_a"), F.col("bag_b"), least)
+    pairs = stage(pairs.filter(alike).select("a", "b"), "pairs")
+    involved = seated.select("node.*").distinct()
     rows = with_key(docs.select("text"))
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    texts = stage(
-        texts.join(involved.select("node.*"), ["k1", "k2"], "left_semi"), "texts"
-    )
-    links = stage(aligned(pairs.select("a", "b").distinct(), texts, least), "links")
-    rest = _unlinked(others, pairs, links)
-    # Texts that are no copies of their leader: two equal sketches for the next meeting.
-    lists = rest.groupBy("node", "n").agg(F.sort_array(F.collect_set("bucket")).alias("own"))
-    two = F.flatten(
-        F.transform(
-            "own",
-            lambda x, i: F.transform(
-                F.slice("own", i + 2, F.size("own")), lambda y: F.xxhash64(x, y)
-            ),
-        )
+    texts = stage(texts.join(involved, ["k1", "k2"], "left_semi"), "texts")
+    links = stage(aligned(pairs, texts, least).select("a", "b"), "links")
+    slim = seated.select(
+        "bucket", "node", "n", "turn", "size", (F.col("node") == F.col("first.node")).alias("led")
     )
-    buckets = stage(lists.select("node", "n", F.explode(two).alias("bucket")), "buckets")
+    # One class in a bucket of two, or both have met.
+    live, stars = _live(slim.filter("size > 2"), links)
+    live = stage(live.join(bags.select("node", "bag"), "node"), "live")
+    share = F.col("turn").cast("double") / 2.0**64 + 0.5
     round_no = 1
-    while True:
-        others, pairs = _pairs(buckets, round_no, least)
-        if pairs.isEmpty():
-            return links
-        found = stage(aligned(pairs.select("a", "b").distinct(), texts, least), "links")
-        links = links.unionByName(found)
-        buckets = stage(_unlinked(others, pairs, found), "buckets")
+    while not live.isEmpty():
+        leaders = live.filter(~F.col("led") & (share < float(MORE**round_no) / F.col("size"))).select(
+            "bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "turn", "root", "bag"))
+        )
+        after = F.struct("turn_a", "node_a") < F.struct("turn", "node")
+        alike = _alike(F.col("n"), F.col("n_a"), F.col("bag"), F.col("bag_a"), least)
+        met = live.join(leaders, "bucket").filter(after & (F.col("root") != F.col("root_a")) & alike)
+        pairs = met.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+        found = stage(aligned(stage(pairs, "pairs"), texts, least).select("a", "b"), "links")
+        live = live.filter(F.col("size") > float(MORE**round_no)).withColumn(
+            "led", F.col("led") | (share < float(MORE**round_no) / F.col("size"))
+        )
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            live, stars = _live(live, stars.unionByName(found))
+        live = stage(live, "live")
         round_no += 1
-
-
-def _unlinked(others: DataFrame, pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Members of buckets that none of the bucket's leaders is linked with."""
-    linked = pairs.join(links, ["a", "b"], "left_semi").select("bucket", F.col("b").alias("node"))
-    return others.join(linked.distinct(), ["bucket", "node"], "left_anti")
+    return links
 
 
 def text_classes(
@@ -288,6 +319,7 @@ def text_classes(
     distinct = stage(
         rows.groupBy("k1", "k2").agg(
             F.first("sketch").alias("sketch"),
+            F.first("bag").alias("bag"),
             F.first("n_words").alias("n_words"),
             F.min(own).alias("own"),
             F.count("*").alias("n"),
@@ -308,7 +340,7 @@ def text_classes(
         "k1", "k2", F.col("best.doc_id").alias("class_id"), "n_texts", "n_rows",
         stays.alias("stays"),
     )
-    return rows.drop("sketch"), stage(told, "told")
+    return rows.drop("sketch", "bag"), stage(told, "told")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
