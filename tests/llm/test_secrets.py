@@ -82,3 +82,16 @@ def test_mask(spark, documents):
     ], key=repr)
     assert mask_secrets(documents([])).collect() == []
     assert find_secrets(documents([])).collect() == []
+
+
+def test_values_that_a_base_span_only_begins(spark, documents):
+    value = "Tr0ubadour&3xtra!x"
+    text = f"password: {value} end"
+    base = brute(text)
+    assert base == [(0, 0, 20)]
+    assert context_values(text, base) == [(10, 10 + len(value), value)]
+    docs = documents([text, f"token = '{HEX}'"])
+    got = {r.doc_id: r for r in find_secrets(docs).collect()}
+    assert got[0].spans == f"assign:0:20,guess:10:{10 + len(value)}"
+    assert (got[0].n_assign, got[0].n_guess, got[1].n_guess) == (1, 1, 0)
+    assert {r.doc_id: r.text for r in mask_secrets(docs).collect()}[0] == "[SECRET] end"

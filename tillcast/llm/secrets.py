@@ -2,7 +2,9 @@
 
 Three base patterns are matched leftmost and without overlap in each whole text. The
 method then looks at values that stand in a credential's context ("the password is ...",
-"pwd: ...") and that no base span covers. A value's guess cost is the cheapest
+"pwd: ...") and do not lie within a base span. A value that a base span only begins, as base
+spans end at the first sign they do not know, is costed whole and its span stands beside the
+base one. A value's guess cost is the cheapest
 segmentation, found by dynamic programming, into
 
 - words, as often guessed as they are frequent in the corpus itself,
@@ -103,7 +105,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def context_values(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of values in a credential's context that no base span touches."""
+    """(start, end, value) of values in a credential's context that lie in no base span."""
     low = text.lower()
     if not any(name in low for name in NAMES):
         return []
@@ -111,7 +113,7 @@ def context_values(text: str, base: list[tuple[int, int, int]]) -> list[tuple[in
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?)]}")
         at, stop = m.start(1), m.start(1) + len(value)
-        if len(value) >= 6 and not any(a < stop and at < b for a, _, b in base):
+        if len(value) >= 6 and not any(a <= at and stop <= b for a, _, b in base):
             values.append((at, stop, value))
     return values
 
