@@ -3,6 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from tillcast.llm.fixity import audit, faults, records, tree
+from tillcast.llm.queries import op2_merkle_fixity
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -57,3 +58,22 @@ def test_edges(spark):
     assert audit(none, none, F.lit(0)).collect() == []
     assert {r.state for r in audit(odd, none, F.lit(0)).collect()} == {"missing"}
     assert {r.state for r in audit(none, odd, F.lit(0)).collect()} == {"extra"}
+
+
+def test_pages_without_an_id_are_audited(spark, tmp_path):
+    numbered = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(30)]
+    nameless = [(None, f"http://n/{i}", f"<p>{i}</p>") for i in range(1200)]
+    odd = spark.createDataFrame([*numbered, *nameless, (None, None, None), (None, None, None)], SCHEMA)
+    odd.write.parquet(f"{tmp_path}/pages.parquet")
+    got = op2_merkle_fixity(spark, str(tmp_path)).collect()
+    without = [r for r in got if r.page_id is None]
+    assert len(got) == 1232 and len(without) == 1202
+    assert {r.state for r in without} == {"same"} and None not in {r.archive for r in got}
+    own = {r.archive for r in without}
+    assert len(own) == 3 and not own & {r.archive for r in got if r.page_id is not None}
+    # A null archive is one archive; its faults are found too.
+    none = F.lit(None).cast("long")
+    lost = audit(odd, odd.filter("page_id IS NULL OR page_id != 29"), none, fanout=4).collect()
+    assert len(lost) == 1232 and sum(r.state == "missing" for r in lost) == 1
+    back = audit(odd.filter("page_id IS NULL OR page_id != 29"), odd, none, fanout=4)
+    assert back.filter("state = 'extra'").count() == 1

@@ -10,7 +10,8 @@ a hash per archive, and a few per fault, not the records.
 Levels are built by aggregation over all archives at once. An archive's first level holds
 one row for each ``fanout`` records, so wide ranges stay small groups at any size.
 
-Null urls and bodies are empty, null ids sort first. Records of equal id are ordered by
+Null urls and bodies are empty, null ids sort first. A null archive is an archive like others;
+:func:`bounded_archives` deals pages without an id to archives of their own instead. Records of equal id are ordered by
 url and body; equal records are records of their own. Records that one replica lacks
 change every hash after them, as offsets shift. Empty replicas have no roots and no faults.
 """
@@ -65,6 +66,30 @@ def records(pages: DataFrame, archive: Column) -> DataFrame:
     )
 
 
+def bounded_archives(pages: DataFrame, size: int) -> Column:
+    """Archives of ``size`` page numbers for ``pages`` and its replicas.
+
+    Pages without a number go, by a hash of url and body, to as many archives as hold about
+    ``size`` of them each. These are numbered from the least long, below all others. Such a page
+    has no name but its content, so a changed copy is missing and extra.
+    """
+    without = pages.filter(F.col("page_id").isNull()).count()
+    dealt = F.pmod(F.xxhash64("url", "html"), F.lit(max(1, -(-without // size))))
+    return F.coalesce(F.floor(F.col("page_id") / size), F.lit(-(2**63)) + dealt)
+
+
+def _same(left: DataFrame, right: DataFrame, names: list[str], how: str) -> DataFrame:
+    """Join by equal ``names``, where nulls are equal, with those columns once."""
+    other = right.select(*(F.col(c).alias(f"_{c}" if c in names else c) for c in right.columns))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]
+    joined = left.join(other, on, how)
+    if how == "left_semi":
+        return joined
+    # Of a full join's row, one side may be absent.
+    own = [F.coalesce(c, f"_{c}").alias(c) if c in names else F.col(c) for c in left.columns]
+    return joined.select(*own, *(c for c in right.columns if c not in names))
+
+
 def tree(leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """All nodes of the archives' trees: archive, level (0 for records), nth, start, stop
     (the offset range) and hash. A record's hash covers its place, so moved records differ.
@@ -108,9 +133,9 @@ def faults(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT) -> DataFram
             rows = side.filter(F.col("level") == level).select(*joined, F.col("hash").alias(name))
             if within is not None:
                 parent = rows.withColumn("above", F.floor(F.col("nth") / fanout))
-                rows = parent.join(within, ["archive", "above"], "left_semi").drop("above")
+                rows = _same(parent, within, ["archive", "above"], "left_semi").drop("above")
             sides.append(rows)
-        both = sides[0].join(sides[1], joined, "full")
+        both = _same(sides[0], sides[1], joined, "full")
         return both.filter(~F.col("ours").eqNullSafe(F.col("theirs")))
 
     # Trees of unequal height have no common range above the lower one.
@@ -133,11 +158,9 @@ def audit(pages: DataFrame, replica: DataFrame, archive: Column, fanout: int = F
     roots = (
         our_tree.groupBy("archive").agg(F.max_by("hash", "level").alias("root"))
     )
-    extra = (
-        wrong.filter("state = 'extra'").join(theirs, ["archive", "nth"])
-        .join(roots, "archive", "left")
-    )
-    known = ours.join(roots, "archive").join(wrong, ["archive", "nth"], "left")
+    extra = _same(wrong.filter("state = 'extra'"), theirs, ["archive", "nth"], "inner")
+    extra = _same(extra, roots, ["archive"], "left")
+    known = _same(_same(ours, roots, ["archive"], "inner"), wrong, ["archive", "nth"], "left")
     columns = ["archive", "nth", "offset", "length", "page_id", "digest", "root"]
     return known.select(*columns, F.coalesce("state", F.lit("same")).alias("state")).unionByName(
         extra.select(*columns, "state")

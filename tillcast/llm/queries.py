@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.llm.decision_list import quality_rules
-from tillcast.llm.fixity import audit
+from tillcast.llm.fixity import audit, bounded_archives
 from tillcast.llm.licenses import TEMPLATES, scan_licences
 from tillcast.llm.metric_join import metric_components
 from tillcast.llm.mixing import poisson_mix
@@ -38,13 +38,14 @@ def op1_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     """Archives of 500 page numbers, against a replica in which some bodies have decayed and
-    the last page of some archives is lost (both by digest, so they follow the data)."""
+    the last page of some archives is lost (both by digest, so they follow the data). Pages
+    without a number are in archives of their own; the SQL leaves them out."""
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
     decayed = F.when(mark == "00", F.concat("html", F.lit(" "))).otherwise(F.col("html"))
     lost = (F.col("page_id") % 500 == 499) & (mark >= "80")
     replica = pages.withColumn("html", decayed).filter(~F.coalesce(lost, F.lit(False)))
-    return audit(pages, replica, F.floor(F.col("page_id") / 500))
+    return audit(pages, replica, bounded_archives(pages, 500))
 
 
 def op4_metric_join(spark: SparkSession, folder: str) -> DataFrame:
