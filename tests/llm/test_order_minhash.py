@@ -171,3 +171,11 @@ def test_chains_and_families_in_a_bucket_are_whole(spark, documents):
     texts = [*family(rng, 300), *chain(rng, 12), *chain(rng, 30)]
     rng.shuffle(texts)
     assert same_classes(texts, one_bucket(spark, documents, texts))
+
+
+def test_near_copies_in_a_bucket_led_by_an_unlike_text(spark, documents):
+    rng = random.Random(4)
+    texts = [" ".join(f"u{rng.random()}" for _ in range(50)) for _ in range(40)]
+    texts += [edited(rng, text, 8) for text in texts[:5]]
+    links = one_bucket(spark, documents, texts)
+    assert sorted(tuple(sorted(pair)) for pair in links) == [(i, 40 + i) for i in range(5)]
