@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from tillcast.llm.components import components
 from tillcast.llm.order_minhash import (
+    PICKED,
+    RUN,
+    SKETCHES,
     labelled,
     matched_words,
     near_duplicates,
@@ -179,3 +182,20 @@ def test_near_copies_in_a_bucket_led_by_an_unlike_text(spark, documents):
     texts += [edited(rng, text, 8) for text in texts[:5]]
     links = one_bucket(spark, documents, texts)
     assert sorted(tuple(sorted(pair)) for pair in links) == [(i, 40 + i) for i in range(5)]
+
+
+def test_recall_of_the_sketches_at_the_link_threshold():
+    rng = random.Random(5)
+    met = {}
+    for share in (10, 15, 20):
+        hits = 0
+        for _ in range(300):
+            a = np.array([rng.getrandbits(62) for _ in range(50)], np.uint64)
+            b = a.copy()
+            for at in rng.sample(range(50), share // 2):
+                b[at] = rng.getrandbits(62)
+            one, two = (set(order_sketches(labelled(x, RUN), SKETCHES, PICKED)) for x in (a, b))
+            assert matched_words(a, b, 40)
+            hits += bool(one & two)
+        met[share] = hits / 300
+    assert met[10] >= 0.99 and met[15] >= 0.99 and met[20] >= 0.97, met
