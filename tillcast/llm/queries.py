@@ -17,6 +17,7 @@ from tillcast.llm.order_minhash import near_duplicates
 from tillcast.llm.packing import pack_documents
 from tillcast.llm.secrets import find_secrets
 from tillcast.llm.substring import remove_repeated
+from tillcast.llm.token_counts import count_tokens
 from tillcast.llm.weak_labels import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,10 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return poisson_mix(documents(spark, folder), WEIGHTS, SEED, default_weight=1.0)
 
 
+def op12_rank_merging(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(documents(spark, folder), TOKENIZER)
+
+
 QUERIES: dict[str, Query] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_merkle_fixity": op2_merkle_fixity,
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op8_certified_packing": op8_certified_packing,
     "op9_weak_labels": op9_weak_labels,
     "op10_poisson_mix": op10_poisson_mix,
+    "op12_rank_merging": op12_rank_merging,
 }
 
 _POISSON = f"""
