@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.llm.alignment import align_tokens
 from tillcast.llm.decision_list import quality_rules
 from tillcast.llm.fixity import audit, bounded_archives
 from tillcast.llm.licenses import TEMPLATES, scan_licences
@@ -26,6 +27,7 @@ SEED = 42
 #: Two sources wanted more, one less, the others alike; weights need not sum to one.
 WEIGHTS = {"src0": 1.0, "src1": 3.0, "src2": 2.0}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 CAPACITY = 2048
 
 
@@ -87,6 +89,10 @@ def op12_rank_merging(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), TOKENIZER)
 
 
+def op13_incidence_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_tokens(documents(spark, folder), TOKENIZER, PIECES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_order_minhash": op1_order_minhash,
     "op2_merkle_fixity": op2_merkle_fixity,
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op9_weak_labels": op9_weak_labels,
     "op10_poisson_mix": op10_poisson_mix,
     "op12_rank_merging": op12_rank_merging,
+    "op13_incidence_alignment": op13_incidence_alignment,
 }
 
 _POISSON = f"""
