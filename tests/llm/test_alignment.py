@@ -92,6 +92,7 @@ def test_documents_against_sets_of_ranges(spark, documents):
 
 def test_small_blocks_give_the_same(spark, documents, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK", 7)
+    monkeypatch.setattr(alignment, "TOGETHER", 10)
     load_pair.cache_clear()
     pair = load_pair(A, B)
     chunks = [" walking", " naïve", " 日本語のテキスト", " " * 5 + "x"]

@@ -55,7 +55,7 @@ def test_any_texts(texts):
 def test_memory_of_chunks_is_bounded(monkeypatch):
     load_counter.cache_clear()
     counter = load_counter(PATH)
-    monkeypatch.setattr(counter.known, "LIMIT", 50)
+    monkeypatch.setattr(counter.known, "limit", 50)
     for i in range(40):
         texts = [f"word{'abcdefghij'[k % 10] * (k % 7)} {i} q{i * 31 + k}" for k in range(20)]
         assert counted(texts) == expected(texts)

@@ -44,8 +44,9 @@ from tillcast.staging import stage
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 ALIGNED = COUNTED + ", n_best long, count_sum long, groups_sha256 string, n_overlaps long, n_shared long"
 LINKS = "doc_id long, kind string, a_place long, b_place long, a int, b int, n_bytes long"
-#: Products of single entries worked out at once.
-BLOCK = 1 << 22
+#: Products of single entries worked out at once; bytes of a slice of texts; characters of
+#: new chunks aligned together.
+BLOCK, SLICE, TOGETHER = 1 << 18, 1 << 20, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -145,7 +146,7 @@ class Pair:
         # A model may have pieces that go on after a space: then texts stay whole.
         self.cuts = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
         self.pairs = self._pairs()
-        self.known: Known[tuple | None] = Known(self.align)
+        self.known: Known[tuple | None] = Known(self.align, 60_000)
 
     def _piece(self, number: int) -> bytes:
         piece = self.b.id_to_piece(number)
@@ -180,16 +181,21 @@ class Pair:
         coded = self.a.encode_batch_fast(found, add_special_tokens=False)
         a = [c.ids for c in coded]
         b = self.b.encode([chunk[1:] for chunk in found], num_threads=1)
+        told = [chunk.encode() for chunk in found]
         right = [
-            b"".join([self.bytes_a[i] for i in x]) == b"".join([self.bytes_b[i] for i in y])
-            == chunk.encode()
-            for chunk, x, y in zip(found, a, b, strict=True)
-        ]
+            b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y))
+            for t, x, y in zip(told, a, b, strict=True)
+        ]
         return a, b, np.array(right, bool)
 
     def align(self, found: list[str]) -> list[tuple | None]:
         """For each chunk: tokens of A and B, groups, overlap and shared-group links, slots in
         ``pairs`` of the links that end together, and the groups as text."""
+        part = np.cumsum([len(chunk) for chunk in found]) // TOGETHER
+        cuts = (np.flatnonzero(np.diff(part)) + 1).tolist()
+        return [one for x, y in pairwise([0, *cuts, len(found)]) for one in self._align(found[x:y])]
+
+    def _align(self, found: list[str]) -> list[tuple | None]:
         ids_a, ids_b, right = self.encoded(found)
         picked = np.flatnonzero(right).tolist()
         out: list[tuple | None] = [None] * len(found)
@@ -222,7 +228,7 @@ class Pair:
         )
         for i, n_a, n_b, n_groups, n_overlaps, n_shared, (x, y), (u, v) in rows:
             told = ";".join(texts[u:v]).encode()
-            out[i] = (n_a, n_b, n_groups, n_overlaps, n_shared, flat[x:y].copy(), told)
+            out[i] = (n_a, n_b, n_groups, n_overlaps, n_shared, flat[x:y].tobytes(), told)
         return out
 
     @staticmethod
@@ -262,11 +268,11 @@ def _first_pass(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = load_pair(path_a, path_b)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             raw, starts = joined(_with_space(batch.column("text")))
             rows = batch.num_rows
             figures = np.zeros((rows, 5), np.int64)
-            links: list[np.ndarray] = [np.empty(0, np.int32)] * rows
+            links = [b""] * rows
             digest = [""] * rows
             if len(raw):
                 found, code, first = chunks(raw, starts, pair.begins(raw, starts))
@@ -281,10 +287,10 @@ def _first_pass(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                         continue
                     figures[row] = table[own].sum(axis=0)
                     own = own.tolist()
-                    links[row] = np.concatenate([slots[c] for c in own])
+                    links[row] = b"".join([slots[c] for c in own])
                     digest[row] = hashlib.sha256(b";".join([told[c] for c in own])).hexdigest()
-            at = np.concatenate([[0], np.cumsum([len(x) for x in links])]).astype(np.int32)
-            flat = pa.array(np.concatenate(links)) if rows else pa.array([], pa.int32())
+            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in links])]).astype(np.int32)
+            flat = pa.array(np.frombuffer(b"".join(links), np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

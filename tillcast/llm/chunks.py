@@ -66,16 +66,17 @@ class Known(Generic[Value]):
     worked out and not kept.
     """
 
-    LIMIT, WIDE = 200_000, 200
+    WIDE = 200
 
-    def __init__(self, work: Callable[[list[str]], list[Value]]):
+    def __init__(self, work: Callable[[list[str]], list[Value]], limit: int = 200_000):
         self.work = work
+        self.limit = limit
         self.young: dict[str, Value] = {}
         self.old: dict[str, Value] = {}
 
     def of(self, wanted: list[str]) -> list[Value]:
         """The value of each chunk; unknown ones are worked out together."""
-        if len(self.young) > self.LIMIT:
+        if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         young.update({c: old[c] for c in wanted if c not in young and c in old})
