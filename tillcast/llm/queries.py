@@ -17,6 +17,7 @@ from tillcast.llm.mixing import poisson_mix
 from tillcast.llm.order_minhash import near_duplicates
 from tillcast.llm.packing import pack_documents
 from tillcast.llm.secrets import find_secrets
+from tillcast.llm.spelling import spelling_forms
 from tillcast.llm.substring import remove_repeated
 from tillcast.llm.token_counts import count_tokens
 from tillcast.llm.weak_labels import classify
@@ -85,6 +86,10 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return poisson_mix(documents(spark, folder), WEIGHTS, SEED, default_weight=1.0)
 
 
+def op11_pivotal_grams(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_forms(documents(spark, folder))
+
+
 def op12_rank_merging(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), TOKENIZER)
 
@@ -104,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op8_certified_packing": op8_certified_packing,
     "op9_weak_labels": op9_weak_labels,
     "op10_poisson_mix": op10_poisson_mix,
+    "op11_pivotal_grams": op11_pivotal_grams,
     "op12_rank_merging": op12_rank_merging,
     "op13_incidence_alignment": op13_incidence_alignment,
 }
