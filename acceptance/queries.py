@@ -261,12 +261,13 @@ def category_vocabulary_query(star: StarSchema) -> DataFrame:
 
 def indicators_customer(star: StarSchema) -> DataFrame:
     encoded = customer_features(stage(tc.customer_monthly(star), "customer_monthly"))
-    return encoded.frame.select("CustomerKey", "Year", "Month", *encoded.features[5:])
+    return encoded.as_columns().select("CustomerKey", "Year", "Month", *encoded.features[5:])
 
 
 def indicators_territory(star: StarSchema) -> DataFrame:
     encoded = regional_features(stage(tc.regional_monthly(star), "regional_monthly"))
-    return _rounded(encoded.frame.select("TerritoryName", "Year", "Month", *encoded.features[:-5]))
+    columns = ["TerritoryName", "Year", "Month", *encoded.features[:-5]]
+    return _rounded(encoded.as_columns().select(*columns))
 
 
 def _rounded_all(df: DataFrame, columns: list[str], places: int = 6) -> DataFrame:

@@ -1,21 +1,20 @@
 import math
 
 import pytest
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tillcast.operators.encoding import (
+    Categories,
     align_columns,
     category_vocabulary,
+    indicator_columns,
     indicator_names,
     with_indicators,
-    with_sparse_indicators,
 )
 from tillcast.operators.scaling import Scaler
 from tillcast.operators.split import hash_bucket, holdout_split
-from tillcast.plans import features
-from tillcast.plans.features import encode
+from tillcast.plans.features import mart_facts
 
 
 @pytest.fixture
@@ -37,9 +36,14 @@ def test_vocabulary_sorts_numbers_as_numbers(people):
     ]
 
 
+def indicators(frame, columns, given=None):
+    categories = given or mart_facts(frame.withColumn("Year", F.lit(1)), columns).categories
+    added, names = with_indicators(frame, categories, columns)
+    return indicator_columns(added, names), names
+
+
 def test_first_category_is_the_base_level(people):
-    words = [tuple(r) for r in category_vocabulary(people, ["Gender", "EmailPromotion"]).collect()]
-    frame, names = with_indicators(people, words)
+    frame, names = indicators(people, ["EmailPromotion", "Gender"])
     assert names == ["EmailPromotion_10", "Gender_M", "Gender_X"]
     assert rows(frame, "id", *names) == [
         (1, 1.0, 1.0, 0.0),
@@ -48,37 +52,54 @@ def test_first_category_is_the_base_level(people):
         (4, 0.0, 0.0, 1.0),
         (5, 1.0, 0.0, 0.0),
     ]
+    assert frame.columns == [*people.columns, *names]
 
 
 def test_unseen_category_gets_zeros(spark):
     new = spark.createDataFrame([("Q",), ("M",)], "Gender string")
-    frame, names = with_indicators(new, [("Gender", 0, "F"), ("Gender", 1, "M")])
+    frame, names = indicators(new, ["Gender"], Categories({"Gender": ["F", "M"]}))
     assert rows(frame, *names) == [(0.0,), (1.0,)]
 
 
 def test_names_without_dots_and_without_clashes():
-    words = [("C", 0, "A"), ("C", 1, "St. Lucia"), ("C", 2, "St_ Lucia")]
-    assert list(indicator_names(words)) == ["C_St_ Lucia", "C_St_ Lucia_2"]
-
-
-def test_sparse_indicators_equal_single_columns(spark, people):
-    words = category_vocabulary(people, ["Gender"])
-    table = [tuple(r) for r in words.collect()]
-    single, names = with_indicators(people, table)
-    expected = [(r[0], list(r[1:])) for r in rows(single, "id", *names)]
-    more = people.union(spark.createDataFrame([(6, "unseen", 1)], people.schema))
-    sparse, name = with_sparse_indicators(more, words, "Gender", len(table))
-    got = rows(sparse.select("id", vector_to_array(name).alias("v")))
-    assert got == [*expected, (6, [0.0, 0.0])]
-    assert sparse.columns == [*people.columns, name]
-
-
-def test_many_categories_switch_to_a_vector(people, monkeypatch):
-    monkeypatch.setattr(features, "WIDE_CATEGORIES", 2)
-    words = category_vocabulary(people, ["Gender", "EmailPromotion"])
-    encoded = encode(people, words, ["Gender", "EmailPromotion"])
-    assert encoded.features == ["Gender_indicators", "EmailPromotion_10"]
-    assert encoded.frame.count() == 5
+    assert indicator_names("C", ["A", "St. Lucia", "St_ Lucia"]) == ["C_St_ Lucia", "C_St_ Lucia_2"]
+
+
+@pytest.mark.parametrize("many", [1, 2, 60, 300])
+def test_one_sparse_vector_for_any_number_of_categories(spark, many):
+    values = [f"v{i:03}" for i in range(many)]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, Kind string")
+    told, names = indicators(frame, ["Kind"])
+    assert names == [f"Kind_{v}" for v in values[1:]]
+    got = rows(told, "id", *names)
+    assert got == sorted(
+        ((i, *(float(v == values[i]) for v in values[1:])) for i in range(many)), key=repr
+    )
+    vector, _ = with_indicators(frame, mart_facts(frame.withColumn("Year", F.lit(1)), ["Kind"]).categories, ["Kind"])
+    assert vector.columns == ["id", "Kind", *["Indicators"] * (many > 1)]
+
+
+def test_names_that_differ_by_case(spark):
+    frame = spark.createDataFrame([(1, "US"), (2, "us"), (3, "AT")], "id int, Country string")
+    told, names = indicators(frame, ["Country"])
+    assert names == ["Country_US", "Country_us_2"]
+    assert rows(told, "id", *names) == [(1, 1.0, 0.0), (2, 0.0, 1.0), (3, 0.0, 0.0)]
+
+
+def test_categories_round_trip(spark):
+    held = Categories({"Gender": ["F", "M"], "EmailPromotion": ["2", "10"]})
+    assert Categories.from_df(held.to_df(spark)) == held
+
+
+def test_indicators_need_no_pass_over_the_frame(spark, people):
+    """The encoder is told the number of slots: adding indicators runs no job."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("indicators", "indicators")
+    try:
+        with_indicators(people, Categories({"Gender": ["F", "M", "X"]}), ["Gender"])
+        assert tracker.getJobIdsForGroup("indicators") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_align_adds_drops_and_orders(spark):

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 import tillcast as tc
 from tests.conftest import line, rows
 from tillcast.operators.customers import latest_month
+from tillcast.operators.encoding import category_sets
+from tillcast.operators.marts import customer_months, with_traits
 from tillcast.sources.star import CUSTOMERS, DATES, FACT, TERRITORIES
 
 
@@ -75,6 +77,34 @@ def test_last_month_is_limited_before_the_shuffle(stored):
     assert limits[0] < plan.index("Exchange hashpartitioning(CustomerKey") < limits[1]
 
 
+def test_scoring_meets_the_customers_with_one_row_each(stored):
+    """The last month is picked before the join, from the partial results of each task."""
+    latest = latest_month(with_traits(stored, latest_month(customer_months(stored, 2000))))
+    plan = plan_of(latest)
+    # The formatted tree reads from the result down: the join lies above the inner window.
+    inner = [m.start() for m in re.finditer("WindowGroupLimit", plan)]
+    assert plan.index("Join [CustomerKey") < inner[-1]
+    assert "TotalDue" in plan[inner[-1] :]
+
+
+def test_helpers_pass_over_the_mart_once(stored, spark, tmp_path):
+    """Categories and year bounds come from one job; the encoding itself runs none."""
+    tc.write_mart(tc.regional_monthly(stored), f"{tmp_path}/mart")
+    mart = spark.read.parquet(f"{tmp_path}/mart")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("helpers", "helpers")
+    try:
+        encoded = tc.regional_features(mart)
+        jobs = tracker.getJobIdsForGroup("helpers")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # One scan stage and one stage that merges its tasks' results.
+    assert len(jobs) <= 2
+    facts = plan_of(mart.agg(F.min("Year"), *category_sets(["TerritoryName"])))
+    assert facts.count("FileScan") == 1
+    assert plan_of(encoded.frame).count("FileScan") == 1
+
+
 def test_view_over_joins_is_scanned_once(retail):
     plan = plan_of(tc.monthly_sales(retail))
     assert plan.count("lineitem.parquet") == 1

@@ -24,13 +24,14 @@ def next_purchase_label(mart: DataFrame) -> DataFrame:
 
 
 def latest_month(mart: DataFrame) -> DataFrame:
-    """The last row of each customer. Filter by year or month before, not after.
+    """The last row of each customer, of a mart with or without the traits. Filter by year or
+    month before, not after.
 
     Spark keeps only each task's last row per customer before the shuffle
     (WindowGroupLimit).
     """
     newest = Window.partitionBy("CustomerKey").orderBy(
-        *[F.desc(c) for c in ("Year", "Month", *CUSTOMER_TRAITS)]
+        *[F.desc(c) for c in ("Year", "Month", *CUSTOMER_TRAITS) if c in mart.columns]
     )
     return (
         mart.withColumn("recency", F.row_number().over(newest))

@@ -79,7 +79,14 @@ def customer_monthly(
     more than once counts once per listing; the second sum adds those up and needs no
     further shuffle, because the join output is already distributed by the key.
     """
-    months = (
+    return with_traits(star, customer_months(star, year, month))
+
+
+def customer_months(
+    star: StarSchema, year: int | None = None, month: int | None = None
+) -> DataFrame:
+    """Spending, units and lines by customer and month, from the fact alone."""
+    return (
         star.dated_lines(year, month)
         .groupBy("CustomerKey", "Year", "Month")
         .agg(
@@ -88,6 +95,10 @@ def customer_monthly(
             F.count("SalesOrderID").alias("lines"),
         )
     )
+
+
+def with_traits(star: StarSchema, months: DataFrame) -> DataFrame:
+    """Customer-months with the customer's traits, in the form of the mart."""
     traits = star.customers.select("CustomerKey", *CUSTOMER_TRAITS)
     return (
         months.join(traits, "CustomerKey")

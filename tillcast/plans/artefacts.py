@@ -1,7 +1,7 @@
 """Fitted models on a shared file system, one directory per training run.
 
-``<path>/<version>/`` holds ``pipeline``, ``scaler``, ``vocabulary`` and, written last,
-``manifest``, which lists the other parts. A run that fails midway leaves no manifest and
+``<path>/<version>/`` holds ``pipeline`` or ``weights``, ``scaler``, ``vocabulary`` and,
+written last, ``manifest``, which lists the other parts, the features and the settings. A run that fails midway leaves no manifest and
 is never picked up, and a scorer that runs during a retrain reads one whole version, never
 a mixture.
 """
@@ -18,35 +18,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.errors import ModelNotTrained
+from tillcast.operators.encoding import VOCABULARY_SCHEMA, Categories
 from tillcast.operators.scaling import SCALER_SCHEMA, Scaler
+from tillcast.plans.models import WEIGHTS_SCHEMA, LinearModel
 
 MANIFEST_SCHEMA = (
-    "version string, kind string, base_year int, features array<string>, parts array<string>"
+    "version string, kind string, base_year int, features array<string>, parts array<string>, "
+    "settings map<string, string>"
 )
-VOCABULARY_SCHEMA = "column string, position int, value string"
 
 
 @dataclass(frozen=True)
 class TrainedModel:
     kind: str
-    pipeline: PipelineModel
+    predictor: PipelineModel | LinearModel
     features: list[str]
     base_year: int | None = None
     scaler: Scaler = field(default_factory=lambda: Scaler({}))
-    vocabulary: DataFrame | None = None
+    categories: Categories = field(default_factory=lambda: Categories({}))
+    settings: dict[str, str] = field(default_factory=dict)
+
+    @property
+    def columns(self) -> list[str]:
+        """The columns the predictor reads; indicators are one of them."""
+        if isinstance(self.predictor, LinearModel):
+            return self.features
+        return self.predictor.stages[0].getInputCols()
 
 
 def save_model(spark: SparkSession, path: str, model: TrainedModel) -> str:
     """Write a new version and return its name; names sort by time."""
     version = f"{datetime.now(UTC):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     target = f"{path}/{version}"
-    model.pipeline.write().save(f"{target}/pipeline")
+    tables = {}
+    if isinstance(model.predictor, LinearModel):
+        tables["weights"] = model.predictor
+    else:
+        model.predictor.write().save(f"{target}/pipeline")
     if model.scaler.stats:
-        model.scaler.to_df(spark).write.parquet(f"{target}/scaler")
-    if model.vocabulary is not None:
-        model.vocabulary.write.parquet(f"{target}/vocabulary")
-    parts = ["scaler"] * bool(model.scaler.stats) + ["vocabulary"] * (model.vocabulary is not None)
-    manifest = [(version, model.kind, model.base_year, model.features, parts)]
+        tables["scaler"] = model.scaler
+    if model.categories.values:
+        tables["vocabulary"] = model.categories
+    for name, table in tables.items():
+        table.to_df(spark).write.parquet(f"{target}/{name}")
+    manifest = [
+        (version, model.kind, model.base_year, model.features, list(tables), model.settings)
+    ]
     spark.createDataFrame(manifest, MANIFEST_SCHEMA).coalesce(1).write.parquet(
         f"{target}/manifest"
     )
@@ -68,17 +85,22 @@ def load_model(spark: SparkSession, path: str, kind: str) -> TrainedModel:
     target = f"{path}/{newest['version']}"
     parts = newest["parts"] or []
     read = {
-        name: _read_part(spark, f"{target}/{name}", schema)
-        for name, schema in (("scaler", SCALER_SCHEMA), ("vocabulary", VOCABULARY_SCHEMA))
+        name: part.from_df(_read_part(spark, f"{target}/{name}", schema))
+        for name, part, schema in (
+            ("weights", LinearModel, WEIGHTS_SCHEMA),
+            ("scaler", Scaler, SCALER_SCHEMA),
+            ("vocabulary", Categories, VOCABULARY_SCHEMA),
+        )
         if name in parts
     }
     return TrainedModel(
         kind=kind,
-        pipeline=PipelineModel.load(f"{target}/pipeline"),
+        predictor=read.get("weights") or PipelineModel.load(f"{target}/pipeline"),
         features=list(newest["features"]),
         base_year=newest["base_year"],
-        scaler=Scaler.from_df(read["scaler"]) if "scaler" in read else Scaler({}),
-        vocabulary=read.get("vocabulary"),
+        scaler=read.get("scaler", Scaler({})),
+        categories=read.get("vocabulary", Categories({})),
+        settings=dict(newest["settings"] or {}),
     )
 
 

@@ -19,14 +19,16 @@ from pyspark.sql import functions as F
 from tillcast.errors import UntrainableData
 from tillcast.operators.calendar import chosen_months, month_spine, with_month_index, year_bounds
 from tillcast.operators.customers import latest_month, next_purchase_label
-from tillcast.operators.encoding import align_columns, category_vocabulary
+from tillcast.operators.encoding import align_columns
 from tillcast.operators.marts import (
     CUSTOMER_TRAITS,
     DRIVERS,
     customer_monthly,
+    customer_months,
     monthly_demand,
     monthly_sales,
     regional_monthly,
+    with_traits,
 )
 from tillcast.operators.profiles import attach_profile, future_from_means, future_from_profile
 from tillcast.operators.scaling import Scaler
@@ -37,8 +39,9 @@ from tillcast.plans.features import (
     CUSTOMER_SCALED,
     FOREST_FEATURES,
     LINEAR_FEATURES,
-    customer_features,
-    regional_features,
+    customer_columns,
+    mart_facts,
+    regional_columns,
 )
 from tillcast.plans.models import (
     CUSTOMER_FOREST,
@@ -113,10 +116,13 @@ def train_sales_forest(
     with _history(mart, lambda: monthly_sales(star), "monthly_sales") as history:
         keys = ["Year", "Month", "Quarter", "IsHolidaySL"]
         train, _ = holdout_split(history, keys)
-        if train.isEmpty():
+        rows = train.count()
+        if not rows:
             raise UntrainableData("the history has no month in the training part")
-        pipeline = fit_forest_regression(train, FOREST_FEATURES, "TotalSales", settings, keys)
-        model = TrainedModel("sales_forest", pipeline, list(FOREST_FEATURES))
+        pipeline = fit_forest_regression(train, FOREST_FEATURES, "TotalSales", settings, keys, rows)
+        model = TrainedModel(
+            "sales_forest", pipeline, list(FOREST_FEATURES), settings=settings.told(rows)
+        )
         return save_model(history.sparkSession, path, model)
 
 
@@ -132,7 +138,7 @@ def forecast_sales_forest(
     history = mart or monthly_sales(star)
     model = load_model(history.sparkSession, path, "sales_forest")
     future = future_from_means(history, year, months)
-    return model.pipeline.transform(future).select(
+    return model.predictor.transform(future).select(
         "Year", "Month", "Quarter", rounded_prediction().alias("PredictedSales")
     )
 
@@ -145,22 +151,24 @@ def train_regional(
 ) -> str:
     """Fit units by territory and month with a forest."""
     with _history(mart, lambda: regional_monthly(star), "regional_monthly") as history:
-        base_year = year_bounds(history).first()["MinYear"]
-        if base_year is None:
+        facts = mart_facts(history, ["TerritoryName"])
+        if facts.first_year is None:
             raise UntrainableData("the history is empty")
-        with staged(category_vocabulary(history, ["TerritoryName"]), "vocabulary") as words:
-            encoded = regional_features(history, words, base_year)
-            pipeline = fit_forest_regression(
-                encoded.frame,
-                encoded.features,
-                "TotalSales",
-                settings,
-                ["TerritoryName", "Year", "Month"],
-            )
-            model = TrainedModel(
-                "regional", pipeline, encoded.features, base_year, vocabulary=words
-            )
-            return save_model(history.sparkSession, path, model)
+        rows = history.count()
+        encoded = regional_columns(history, facts.categories, facts.first_year)
+        keys = ["TerritoryName", "Year", "Month"]
+        pipeline = fit_forest_regression(
+            encoded.frame, encoded.columns, "TotalSales", settings, keys, rows
+        )
+        model = TrainedModel(
+            "regional",
+            pipeline,
+            encoded.features,
+            facts.first_year,
+            categories=facts.categories,
+            settings=settings.told(rows),
+        )
+        return save_model(history.sparkSession, path, model)
 
 
 def forecast_regional(
@@ -186,7 +194,7 @@ def forecast_regional(
         history = stage(history, "regional_monthly")
     spine = territory_month_spine(history, year, months, territory)
     future = attach_profile(spine, history, months, allow_missing)
-    encoded = regional_features(future, model.vocabulary, model.base_year)
+    encoded = regional_columns(future, model.categories, model.base_year)
     keys = ["TerritoryName", "Year", "Month"]
     return _predict(model, encoded.frame, keys, allow_missing).select(
         *keys, rounded_prediction().alias("PredictedSales")
@@ -203,24 +211,32 @@ def train_customer(
     labelled = next_purchase_label(mart or customer_monthly(star))
     with staged(labelled, "customer_monthly") as history:
         labels = history.agg(
-            F.min("NextPurchase").alias("lowest"), F.max("NextPurchase").alias("highest")
+            F.min("NextPurchase").alias("lowest"),
+            F.max("NextPurchase").alias("highest"),
+            F.count("*").alias("rows"),
         ).first()
         if labels["lowest"] == labels["highest"]:
             raise UntrainableData("the history needs customers with and without a later purchase")
-        with staged(category_vocabulary(history, CUSTOMER_TRAITS), "vocabulary") as words:
-            encoded = customer_features(history, words)
-            scaler = Scaler.fit(history, CUSTOMER_SCALED)
-            pipeline = fit_forest_classification(
-                scaler.transform(encoded.frame.withColumns(_kept_keys())),
-                encoded.features,
-                "NextPurchase",
-                settings,
-                list(_kept_keys()),
-            )
-            model = TrainedModel(
-                "customer", pipeline, encoded.features, scaler=scaler, vocabulary=words
-            )
-            return save_model(history.sparkSession, path, model)
+        facts = mart_facts(history, CUSTOMER_TRAITS)
+        encoded = customer_columns(history, facts.categories)
+        scaler = Scaler.fit(history, CUSTOMER_SCALED)
+        pipeline = fit_forest_classification(
+            scaler.transform(encoded.frame.withColumns(_kept_keys())),
+            encoded.columns,
+            "NextPurchase",
+            settings,
+            list(_kept_keys()),
+            labels["rows"],
+        )
+        model = TrainedModel(
+            "customer",
+            pipeline,
+            encoded.features,
+            scaler=scaler,
+            categories=facts.categories,
+            settings=settings.told(labels["rows"]),
+        )
+        return save_model(history.sparkSession, path, model)
 
 
 def score_customers(
@@ -233,22 +249,23 @@ def score_customers(
 ) -> DataFrame:
     """CustomerKey, Year, Month, PurchaseProbability, Prediction: each customer's last month.
 
-    Year and month are filtered before anything else, and the last month is picked
-    before the forest runs. All customers come back unless ``top_n`` asks for the most
+    Year and month are filtered before anything else. The last month is picked before the
+    customers' traits are joined, so one row a customer meets them. All customers come back unless ``top_n`` asks for the most
     likely ones. Unlike in the forecasts, a month of 0 means every month here.
     """
     if month:
         chosen_months(month)
     if mart is None:
-        mart = customer_monthly(star, year, month)
+        latest = with_traits(star, latest_month(customer_months(star, year, month)))
     else:
         if year:
             mart = mart.filter(F.col("Year") == year)
         if month:
             mart = mart.filter(F.col("Month") == month)
-    model = load_model(mart.sparkSession, path, "customer")
-    latest = latest_month(mart)
-    encoded = customer_features(latest, model.vocabulary)
+        latest = mart
+    model = load_model(latest.sparkSession, path, "customer")
+    # A customer listed more than once has a row for each listing.
+    encoded = customer_columns(latest_month(latest), model.categories)
     keys = ["CustomerKey", "Year", "Month"]
     scored = (
         _predict(model, encoded.frame, keys)
@@ -282,9 +299,8 @@ def _train_linear(kind: str, history: DataFrame, label: str, path: str) -> str:
     if base_year is None:
         raise UntrainableData("the history is empty")
     dated = with_month_index(history, base_year)
-    scaler = Scaler.fit(dated, LINEAR_FEATURES)
-    pipeline = fit_least_squares(scaler.transform(dated), LINEAR_FEATURES, label)
-    model = TrainedModel(kind, pipeline, list(LINEAR_FEATURES), base_year, scaler)
+    scaler, weights = fit_least_squares(dated, LINEAR_FEATURES, label)
+    model = TrainedModel(kind, weights, list(LINEAR_FEATURES), base_year, scaler)
     return save_model(history.sparkSession, path, model)
 
 
@@ -313,16 +329,16 @@ def _predict(
     """
     carried = frame.select("*", *[F.col(k).alias(f"key_{k}") for k in keys])
     rows = align_columns(
-        model.scaler.transform(carried), model.features, [f"key_{k}" for k in keys]
+        model.scaler.transform(carried), model.columns, [f"key_{k}" for k in keys]
     )
     if allow_missing:
         known = reduce(and_, [F.col(c).isNotNull() for c in DRIVERS])
         rows = rows.withColumn("known", known).fillna(0.0, subset=list(DRIVERS))
-    predicted = model.pipeline.transform(rows)
+    predicted = model.predictor.transform(rows)
     if allow_missing:
         predicted = predicted.withColumn(
             "prediction", F.when(F.col("known"), F.col("prediction"))
         )
-    return predicted.drop(*[k for k in keys if k in model.features]).withColumnsRenamed(
+    return predicted.drop(*[k for k in keys if k in model.columns]).withColumnsRenamed(
         {f"key_{k}": k for k in keys}
     )

@@ -1,22 +1,26 @@
-"""The model families: least squares and random forests, as MLlib pipelines."""
+"""The model families: least squares from one aggregate, random forests by MLlib."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import PCA, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillcast.operators.scaling import Scaler
+
 # A direction with less than this share of the variance counts as linearly dependent;
 # rounding leaves dependent ones near 1e-17.
 DEPENDENT_SHARE = 1e-13
 SEED = 42
+INTERCEPT = "(intercept)"
 
 
 @dataclass(frozen=True)
@@ -28,100 +32,151 @@ class ForestSettings:
     bins: int
     # Histogram memory per task; more of it means fewer passes over the data.
     memory_mb: int = 1024
-    # Parts the rows are dealt to by key before the fit. Bootstrap draws go by part and
-    # place, so this number and the seed fix the forest on any cluster. A few times the
-    # cores for a large customer mart.
-    parts: int = 32
+    # Rows are dealt to parts by key before the fit, one part for this many rows. Bootstrap
+    # draws go by part and place, so the rows, this number and the seed fix the forest on
+    # any cluster.
+    rows_per_part: int = 4096
+    # Features a split looks at, in MLlib's words.
+    subset: str = "all"
     bootstrap: bool = True
 
+    def parts(self, rows: int) -> int:
+        """One for a mart of a few hundred rows, whose histograms would otherwise be made and
+        shuffled many times over; parts of large marts grow, as do the cores that share them."""
+        return max(1, min(-(-rows // self.rows_per_part), 1024 + rows // (100 * self.rows_per_part)))
+
+    def told(self, rows: int) -> dict[str, str]:
+        """The settings as they were used, to be stored with a model."""
+        return {k: str(v) for k, v in {**asdict(self), "rows": rows, "parts": self.parts(rows)}.items()}
+
 
 # Monthly and regional marts hold a few hundred rows at any fact size, so trees grow as
 # deep as Spark allows, with a bin for each value.
 REGRESSION_FOREST = ForestSettings(trees=200, depth=30, bins=1024)
 # The customer mart grows with the customers.
-CUSTOMER_FOREST = ForestSettings(trees=100, depth=10, bins=32)
+CUSTOMER_FOREST = ForestSettings(trees=100, depth=10, bins=32, subset="sqrt")
 
 
-def fit_least_squares(train: DataFrame, features: Sequence[str], label: str) -> PipelineModel:
-    """Ordinary least squares with intercept on already standardised features.
+@dataclass(frozen=True)
+class LinearModel:
+    """Weights of standardised features, and the prediction where all of them are 0."""
 
-    Year, month and month index are linearly dependent, and a short history can bring
-    more such directions. Principal components with no variance are left out before
-    the solver, which gives the minimum-norm solution whatever the dependence is.
+    intercept: float
+    weights: dict[str, float]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``prediction``: one expression over the columns."""
+        terms = [F.col(c) * F.lit(w) for c, w in self.weights.items()]
+        return df.withColumn("prediction", sum(terms, F.lit(self.intercept)))
+
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        rows = [(INTERCEPT, self.intercept), *self.weights.items()]
+        return spark.createDataFrame(rows, WEIGHTS_SCHEMA).coalesce(1)
+
+    @classmethod
+    def from_df(cls, df: DataFrame) -> LinearModel:
+        held = {r["column"]: r["weight"] for r in df.collect()}
+        return cls(held.pop(INTERCEPT), held)
+
+
+WEIGHTS_SCHEMA = "column string, weight double"
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Means and population covariances of all pairs of columns, by one aggregate.
+
+    Covariances are merged from each task's own means, so nothing cancels however far a
+    column lies from zero.
     """
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    assembled = assembler.transform(train).select("features", label)
-    if assembled.limit(2).count() < 2:
-        # A covariance needs two rows; a repeated row fits the same.
-        assembled = assembled.union(assembled)
-    components = PCA(k=len(features), inputCol="features", outputCol="components").fit(assembled)
-    shares = components.explainedVariance.toArray()
-    rank = max(1, int((shares > DEPENDENT_SHARE).sum()))
-    independent = VectorSlicer(
-        inputCol="components", outputCol="independent", indices=list(range(rank))
+    x = F.array(*[F.col(c).cast("double") for c in columns]).alias("x")
+    left = df.select(x).select("x", F.posexplode("x").alias("i", "a"))
+    pairs = left.select("i", "a", F.posexplode("x").alias("j", "b")).filter("i <= j")
+    found = pairs.groupBy("i", "j").agg(
+        F.covar_pop("a", "b").alias("together"), F.avg("a").alias("mean")
     )
-    solver = LinearRegression(
-        featuresCol="independent", labelCol=label, solver="normal", regParam=0.0
-    )
-    fitted = solver.fit(independent.transform(components.transform(assembled)))
-    return PipelineModel([assembler, components, independent, fitted])
+    mean, covariance = np.zeros(len(columns)), np.zeros((len(columns), len(columns)))
+    for r in found.collect():
+        covariance[r["i"], r["j"]] = covariance[r["j"], r["i"]] = r["together"]
+        mean[r["i"]] = r["mean"]
+    return mean, covariance
+
+
+def fit_least_squares(
+    train: DataFrame, features: Sequence[str], label: str
+) -> tuple[Scaler, LinearModel]:
+    """Ordinary least squares with intercept on standardised features.
+
+    Year, month and month index are linearly dependent, and a short history can bring
+    more such directions. Directions with no variance are left out of the solution of the
+    normal equations, which makes it the minimum-norm one whatever the dependence is.
+    """
+    mean, covariance = moments(train, [*features, label])
+    spread = np.sqrt(np.diag(covariance)[:-1])
+    spread[spread == 0] = 1.0
+    gram = covariance[:-1, :-1] / np.outer(spread, spread)
+    size, direction = np.linalg.eigh(gram)
+    used = size > DEPENDENT_SHARE * max(size.sum(), np.finfo(float).tiny)
+    toward = direction[:, used]
+    weights = toward @ ((toward.T @ (covariance[:-1, -1] / spread)) / size[used])
+    scaler = Scaler({c: (float(m), float(s)) for c, m, s in zip(features, mean, spread, strict=False)})
+    return scaler, LinearModel(float(mean[-1]), dict(zip(features, weights.tolist(), strict=True)))
 
 
 def fit_forest_regression(
     train: DataFrame,
-    features: Sequence[str],
+    columns: Sequence[str],
     label: str,
     settings: ForestSettings,
     keys: Sequence[str],
+    rows: int,
 ) -> PipelineModel:
     """Every split looks at all features, every tree at a bootstrap sample.
 
-    ``keys`` tell the rows apart and fix their order.
+    ``keys`` tell the ``rows`` rows apart and fix their order.
     """
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
     forest = RandomForestRegressor(
         labelCol=label,
         numTrees=settings.trees,
         maxDepth=settings.depth,
         maxBins=settings.bins,
-        featureSubsetStrategy="all",
+        featureSubsetStrategy=settings.subset,
         maxMemoryInMB=settings.memory_mb,
         bootstrap=settings.bootstrap,
         seed=SEED,
     )
-    assembled = _dealt(assembler.transform(train), label, settings, keys)
+    assembled = _dealt(assembler.transform(train), label, settings.parts(rows), keys)
     return PipelineModel([assembler, forest.fit(assembled)])
 
 
 def fit_forest_classification(
     train: DataFrame,
-    features: Sequence[str],
+    columns: Sequence[str],
     label: str,
     settings: ForestSettings,
     keys: Sequence[str],
+    rows: int,
 ) -> PipelineModel:
-    """Every split looks at a square-root sample of the features; ``keys`` as above."""
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
+    """As above, for a label of 0 and 1. Two sibling leaves of the same class become one."""
+    assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
     forest = RandomForestClassifier(
         labelCol=label,
         numTrees=settings.trees,
         maxDepth=settings.depth,
         maxBins=settings.bins,
-        featureSubsetStrategy="sqrt",
+        featureSubsetStrategy=settings.subset,
         maxMemoryInMB=settings.memory_mb,
         bootstrap=settings.bootstrap,
         cacheNodeIds=True,
         seed=SEED,
     )
-    assembled = _dealt(assembler.transform(train), label, settings, keys)
+    assembled = _dealt(assembler.transform(train), label, settings.parts(rows), keys)
     return PipelineModel([assembler, forest.fit(assembled)])
 
 
-def _dealt(
-    df: DataFrame, label: str, settings: ForestSettings, keys: Sequence[str]
-) -> DataFrame:
+def _dealt(df: DataFrame, label: str, parts: int, keys: Sequence[str]) -> DataFrame:
     """Rows in parts and an order that follow from their keys and values alone."""
-    dealt = df.repartition(settings.parts, *keys)
+    dealt = df.repartition(parts, *keys)
     return dealt.sortWithinPartitions(*keys, label, F.hash("features")).select("features", label)
 
 
