@@ -1,6 +1,7 @@
 """DuckDB SQL for the deterministic queries, written independently of the Spark plans.
 
-Forests have no SQL counterpart; the tests check their properties instead.
+Bootstrapped forests have no SQL counterpart. The ``_exact`` queries run the same jobs with
+trees that see all rows and features; their SQL tries every split of every feature.
 """
 
 from __future__ import annotations
@@ -195,6 +196,147 @@ def _least_squares(label: str, output: str, year: str, months: str = MONTHS) ->
     )
 
 
+#: Depth of the trees that are grown in SQL.
+TREE_DEPTH = 3
+
+
+def _tree(ctes: list[str], features: list[str], classes: bool, depth: int) -> list[str]:
+    """Grow a tree on ``train`` (id, y and the features) and send ``ahead`` (id and the
+    features) down it: ends with ``told`` (id, prediction).
+
+    Every value of every feature is tried as the largest on the left. The split of largest
+    gain wins, of equal ones the first feature's lowest; it lies midway to the feature's next
+    value in all rows. Siblings that end in the same class become one leaf.
+    """
+
+    def impurity(n: str, s: str, q: str) -> str:
+        if classes:
+            return f"(1 - ({s} / {n}) ** 2 - (({n} - {s}) / {n}) ** 2)"
+        return f"(({q} - {s} * {s} / {n}) / {n})"
+
+    def long(rows: str) -> str:
+        return " UNION ALL ".join(
+            f"SELECT id, {i} AS f, CAST({x} AS DOUBLE) AS v FROM {rows}" for i, x in enumerate(features)
+        )
+
+    out = [
+        *ctes,
+        f"long AS MATERIALIZED ({long('train')})",
+        f"far AS MATERIALIZED ({long('ahead')})",
+        "cut AS MATERIALIZED (SELECT f, v, (v + lead(v) OVER (PARTITION BY f ORDER BY v)) / 2 AS t "
+        "FROM (SELECT DISTINCT f, v FROM long))",
+        "at0 AS (SELECT id, CAST(y AS DOUBLE) AS y, 1 AS node FROM train)",
+    ]
+    for d in range(depth):
+        left, right = impurity("nl", "sl", "ql"), impurity("(n - nl)", "(s - sl)", "(q - ql)")
+        out += [
+            f"held{d} AS (SELECT node, f, v, count(*) AS c, sum(y) AS s, sum(y * y) AS q "
+            f"FROM at{d} JOIN long USING (id) GROUP BY node, f, v)",
+            f"tried{d} AS (SELECT node, f, v, sum(c) OVER o AS nl, sum(s) OVER o AS sl, sum(q) OVER o AS ql, "
+            f"sum(c) OVER w AS n, sum(s) OVER w AS s, sum(q) OVER w AS q FROM held{d} "
+            "WINDOW w AS (PARTITION BY node, f), o AS (PARTITION BY node, f ORDER BY v))",
+            f"gained{d} AS (SELECT node, f, v, round(1 - (nl / n * {left} + (n - nl) / n * {right}) "
+            f"/ {impurity('n', 's', 'q')}, 11) AS gain FROM tried{d} WHERE nl < n AND {impurity('n', 's', 'q')} > 0)",
+            f"best{d} AS MATERIALIZED (SELECT node, f, t FROM (SELECT *, row_number() OVER (PARTITION BY node "
+            f"ORDER BY gain DESC, f, v) AS nth FROM gained{d} WHERE gain > 0) JOIN cut USING (f, v) WHERE nth = 1)",
+            f"at{d + 1} AS MATERIALIZED (SELECT a.id, y, CASE WHEN b.node IS NULL THEN a.node "
+            f"ELSE 2 * a.node + CAST(v > t AS INTEGER) END AS node FROM at{d} a "
+            f"LEFT JOIN best{d} b ON a.node = b.node LEFT JOIN long l ON l.id = a.id AND l.f = b.f)",
+        ]
+    levels = " UNION ".join(
+        f"SELECT node, count(*) AS n, sum(y) AS s FROM at{d} GROUP BY node" for d in range(depth + 1)
+    )
+    out.append(f"stat AS MATERIALIZED ({levels})")
+    out.append(f"kept{depth} AS (SELECT 0 AS node WHERE false)")
+    for d in reversed(range(depth)):
+        same = "(l.s > l.n - l.s) = (r.s > r.n - r.s)" if classes else "false"
+        out.append(
+            f"kept{d} AS MATERIALIZED (SELECT b.* FROM best{d} b JOIN stat l ON l.node = 2 * b.node "
+            f"JOIN stat r ON r.node = 2 * b.node + 1 WHERE NOT ({same}) "
+            f"OR l.node IN (SELECT node FROM kept{d + 1}) OR r.node IN (SELECT node FROM kept{d + 1}))"
+        )
+    out.append("go0 AS (SELECT id, 1 AS node FROM ahead)")
+    for d in range(depth):
+        out.append(
+            f"go{d + 1} AS (SELECT a.id, CASE WHEN b.node IS NULL THEN a.node "
+            f"ELSE 2 * a.node + CAST(v > t AS INTEGER) END AS node FROM go{d} a "
+            f"LEFT JOIN kept{d} b ON a.node = b.node LEFT JOIN far l ON l.id = a.id AND l.f = b.f)"
+        )
+    out.append(f"told AS (SELECT id, s / n AS prediction FROM go{depth} JOIN stat USING (node))")
+    return out
+
+
+FOREST_FEATURES = [f for f in LINEAR_FEATURES if f != "MonthIndex"]
+DRIVERS = LINEAR_FEATURES[5:]
+
+
+def _sales_tree() -> str:
+    means = ", ".join(f"avg({c}) AS {c}" for c in ("IsHolidaySL", *DRIVERS))
+    ctes = [
+        MARTS,
+        f"train AS MATERIALIZED (SELECT row_number() OVER () AS id, TotalSales AS y, {', '.join(FOREST_FEATURES)} "
+        "FROM monthly WHERE CAST('0x' || substr(md5('42|' || Year || '|' || Month || '|' || Quarter "
+        "|| '|' || IsHolidaySL), 1, 8) AS BIGINT) % 100 < 80)",
+        f"ahead AS (SELECT Month AS id, {CALENDAR}, g.* FROM {MONTHS} CROSS JOIN (SELECT {means} FROM monthly) g)",
+    ]
+    return _with(
+        ",\n".join(_tree(ctes, FOREST_FEATURES, classes=False, depth=TREE_DEPTH)),
+        "SELECT Year, Month, Quarter, round(prediction, 2) AS PredictedSales FROM ahead JOIN told USING (id)",
+    )
+
+
+def _regional_tree(condition: str = "true") -> str:
+    features = [f"x{i}" for i in range(len(REGIONS) - 1)] + ["MonthIndex", *DRIVERS]
+    marks = ", ".join(
+        f"CAST(TerritoryName = '{name}' AS INTEGER) AS x{i}" for i, name in enumerate(REGIONS[1:])
+    )
+    means = ", ".join(f"avg({c}) AS {c}" for c in DRIVERS)
+    index = "({year} - (SELECT min(Year) FROM regional)) * 12 + {month} AS MonthIndex"
+    ctes = [
+        MARTS,
+        f"train AS MATERIALIZED (SELECT row_number() OVER () AS id, TotalSales AS y, {marks}, "
+        f"{index.format(year='Year', month='Month')}, {', '.join(DRIVERS)} FROM regional)",
+        f"ahead AS MATERIALIZED (SELECT row_number() OVER () AS id, TerritoryName, m.Month, {marks}, "
+        f"{index.format(year=YEAR, month='m.Month')}, p.* EXCLUDE (Month) "
+        f"FROM (SELECT DISTINCT TerritoryName FROM regional) CROSS JOIN {MONTHS} m "
+        f"JOIN (SELECT Month, {means} FROM regional GROUP BY Month) p ON p.Month = m.Month)",
+    ]
+    return _with(
+        ",\n".join(_tree(ctes, features, classes=False, depth=TREE_DEPTH)),
+        f"SELECT TerritoryName, CAST({YEAR} AS INTEGER) AS Year, Month, round(prediction, 2) AS PredictedSales "
+        f"FROM ahead JOIN told USING (id) WHERE {condition}",
+    )
+
+
+def _customer_tree(condition: str = "true", top: int | None = None) -> str:
+    marks = [
+        f"CAST({c} AS VARCHAR) = '{v}'"
+        for c, values in (("Gender", SEGMENTS), ("CountryRegionName", NATIONS), ("EmailPromotion", PROMOTIONS))
+        for v in values[1:]
+    ]
+    numbers = ["Year", "Month", "TotalSpent", "TotalQuantity", "PurchaseCount"]
+    features = [*numbers, *[f"x{i}" for i in range(len(marks))]]
+    ctes = [
+        MARTS,
+        "train AS MATERIALIZED (SELECT row_number() OVER () AS id, CustomerKey, CASE WHEN "
+        "lead(PurchaseCount) OVER (PARTITION BY CustomerKey ORDER BY Year, Month) > 0 THEN 1 ELSE 0 END AS y, "
+        f"{', '.join(numbers)}, "
+        + ", ".join(f"CAST({m} AS INTEGER) AS x{i}" for i, m in enumerate(marks))
+        + " FROM customer_month)",
+        "ahead AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CustomerKey "
+        f"ORDER BY Year DESC, Month DESC) AS recency FROM train WHERE {condition}) WHERE recency = 1)",
+    ]
+    place = "" if top is None else (
+        ", row_number() OVER (ORDER BY prediction DESC, CustomerKey) AS Place"
+    )
+    return _with(
+        ",\n".join(_tree(ctes, features, classes=True, depth=TREE_DEPTH)),
+        "SELECT CustomerKey, Year, Month, round(prediction, 9) AS PurchaseProbability, "
+        f"CAST(prediction > 0.5 AS INTEGER) AS Prediction{place} FROM ahead JOIN told USING (id)"
+        + ("" if top is None else f" QUALIFY Place <= {top}"),
+    )
+
+
 def _future_linear() -> str:
     profile = f"SELECT Month, {MEAN_DRIVERS} FROM monthly GROUP BY Month"
     return _with(
@@ -320,6 +462,17 @@ ORACLES: dict[str, str] = {
         f"FROM (SELECT DISTINCT TerritoryName FROM regional) CROSS JOIN "
         f"(SELECT {CALENDAR} FROM {MONTHS})",
     ),
+    "json_records_mart": _with(
+        MARTS,
+        "SELECT '{\"TerritoryName\":\"' || TerritoryName || '\",\"Year\":' || Year || ',\"Month\":' || Month "
+        "|| ',\"TotalSales\":' || TotalSales || ',\"AvgUnitPrice\":' || round(AvgUnitPrice, 6) "
+        "|| ',\"AvgDiscount\":' || round(AvgDiscount, 12) || '}' AS \"value\" FROM regional",
+    ),
+    "monthly_sales_in_order": _with(
+        MARTS,
+        "SELECT Year, Month, Quarter, IsHolidaySL, round(TotalSales, 4) AS TotalSales, row_number() OVER "
+        "(ORDER BY Year, Month, Quarter, IsHolidaySL, TotalSales) AS Place FROM monthly",
+    ),
     "next_purchase_label": _with(
         MARTS,
         "SELECT CustomerKey, Year, Month, PurchaseCount, "
@@ -382,4 +535,10 @@ ORACLES: dict[str, str] = {
     "forecast_demand_default_year": _least_squares(
         "TotalQty", "PredictedDemand", "(SELECT max(Year) FROM monthly)"
     ),
+    "forecast_sales_forest_exact": _sales_tree(),
+    "forecast_regional_exact": _regional_tree(),
+    "forecast_regional_one_territory_exact": _regional_tree("TerritoryName = 'EUROPE'"),
+    "score_customers_exact": _customer_tree(),
+    "score_customers_in_year_exact": _customer_tree(f"Year = {LAST_FULL_YEAR}"),
+    "top_customers_exact": _customer_tree(top=10),
 }

@@ -39,6 +39,7 @@ from tillcast.plans.features import (
     customer_features,
     regional_features,
 )
+from tillcast.plans.models import ForestSettings
 from tillcast.sources.star import StarSchema
 from tillcast.staging import scratch_path, stage
 
@@ -313,8 +314,16 @@ Mart = Callable[[StarSchema], DataFrame]
 _ready: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
 
+#: Trees that see all rows and features, with a split for each value in up to as many rows as
+#: there are bins: what they must be follows from the data, and the SQL grows them too.
+EXACT = ForestSettings(trees=2, depth=3, bins=40_000, bootstrap=False)
+
+
 def _job(
-    build: Mart, trainer: Callable[..., str], score: Callable[[StarSchema, str, DataFrame], DataFrame]
+    build: Mart,
+    trainer: Callable[..., str],
+    score: Callable[[StarSchema, str, DataFrame], DataFrame],
+    settings: ForestSettings | None = None,
 ) -> Query:
     """Store the mart and train on it once per session and data folder, then score.
 
@@ -323,11 +332,11 @@ def _job(
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         star = _star(spark, folder)
-        key = (spark.sparkContext.applicationId, folder, trainer.__name__)
+        key = (spark.sparkContext.applicationId, folder, f"{trainer.__name__} {settings}")
         if key not in _ready:
             mart = stage(build(star), build.__name__)
             path = scratch_path(spark, trainer.__name__)
-            trainer(star, path, mart=mart)
+            trainer(star, path, mart=mart, **({"settings": settings} if settings else {}))
             _ready[key] = (mart, path)
         mart, path = _ready[key]
         return score(star, path, mart)
@@ -335,6 +344,28 @@ def _job(
     return run
 
 
+def _in_order(df: DataFrame) -> DataFrame:
+    """Rows of a small result with the place at which each is emitted, from 1.
+
+    One task passes the sorted parts on one after the other.
+    """
+    return df.coalesce(1).withColumn("Place", F.monotonically_increasing_id() + 1)
+
+
+def monthly_sales_in_order(star: StarSchema) -> DataFrame:
+    order = ["Year", "Month", "Quarter", "IsHolidaySL", "TotalSales"]
+    return _in_order(_rounded(tc.monthly_sales(star)).select(*order).orderBy(*order))
+
+
+def json_records_mart(star: StarSchema) -> DataFrame:
+    columns = ["TerritoryName", "Year", "Month", "TotalSales", "AvgUnitPrice", "AvgDiscount"]
+    return tc.json_records(_rounded(tc.regional_monthly(star)).select(*columns))
+
+
+def _scores(df: DataFrame) -> DataFrame:
+    return df.withColumn("PurchaseProbability", F.round("PurchaseProbability", 9))
+
+
 QUERIES: dict[str, Query] = {
     "fact_sales_detail": _over_star(fact_sales_detail),
     "dim_date": _over_star(lambda star: star.dates),
@@ -371,6 +402,8 @@ QUERIES: dict[str, Query] = {
     "future_months_forest": _over_star(future_months_forest),
     "territory_month_spine": _over_star(territory_month_spine_query),
     "json_records": _over_star(json_records),
+    "json_records_mart": _over_star(json_records_mart),
+    "monthly_sales_in_order": _over_star(monthly_sales_in_order),
     "next_purchase_label": _over_star(next_purchase),
     "latest_customer_month": _over_star(latest_customer_month),
     "latest_customer_month_in_year": _over_star(latest_customer_month_in_year),
@@ -434,4 +467,44 @@ QUERIES: dict[str, Query] = {
         tc.train_customer,
         lambda star, path, mart: tc.score_customers(star, path, top_n=10, mart=mart),
     ),
+    "forecast_sales_forest_exact": _job(
+        tc.monthly_sales,
+        tc.train_sales_forest,
+        lambda star, path, mart: tc.forecast_sales_forest(star, path, YEAR, mart=mart),
+        EXACT,
+    ),
+    "forecast_regional_exact": _job(
+        tc.regional_monthly,
+        tc.train_regional,
+        lambda star, path, mart: tc.forecast_regional(star, path, YEAR, mart=mart),
+        EXACT,
+    ),
+    "forecast_regional_one_territory_exact": _job(
+        tc.regional_monthly,
+        tc.train_regional,
+        lambda star, path, mart: tc.forecast_regional(
+            star, path, YEAR, territory="EUROPE", mart=mart
+        ),
+        EXACT,
+    ),
+    "score_customers_exact": _job(
+        tc.customer_monthly,
+        tc.train_customer,
+        lambda star, path, mart: _scores(tc.score_customers(star, path, mart=mart)),
+        EXACT,
+    ),
+    "score_customers_in_year_exact": _job(
+        tc.customer_monthly,
+        tc.train_customer,
+        lambda star, path, mart: _scores(tc.score_customers(star, path, year=LAST_FULL_YEAR)),
+        EXACT,
+    ),
+    "top_customers_exact": _job(
+        tc.customer_monthly,
+        tc.train_customer,
+        lambda star, path, mart: _in_order(
+            _scores(tc.score_customers(star, path, top_n=10, mart=mart))
+        ),
+        EXACT,
+    ),
 }
