@@ -197,7 +197,7 @@ def _least_squares(label: str, output: str, year: str, months: str = MONTHS) ->
 
 
 #: Depth of the trees that are grown in SQL.
-TREE_DEPTH = 3
+TREE_DEPTH = 5
 
 
 def _tree(ctes: list[str], features: list[str], classes: bool, depth: int) -> list[str]:

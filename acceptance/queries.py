@@ -316,7 +316,7 @@ _ready: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
 #: Trees that see all rows and features, with a split for each value in up to as many rows as
 #: there are bins: what they must be follows from the data, and the SQL grows them too.
-EXACT = ForestSettings(trees=2, depth=3, bins=40_000, bootstrap=False)
+EXACT = ForestSettings(trees=2, depth=5, bins=40_000, bootstrap=False)
 
 
 def _job(
