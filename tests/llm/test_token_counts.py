@@ -1,3 +1,4 @@
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillcast.llm import token_counts
-from tillcast.llm.token_counts import count_tokens, load_counter
+from tillcast.llm.token_counts import count_tokens, load_vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
@@ -28,14 +29,14 @@ def expected(texts):
 
 
 def counted(texts):
-    size, tokens = load_counter(PATH).counts(pa.array(texts, pa.string()))
+    size, tokens = load_vocabulary(PATH).counts(pa.array(texts, pa.string()))
     return list(zip(size.tolist(), tokens.tolist(), strict=True))
 
 
 @pytest.mark.parametrize("short", [0, 5, 256])
 def test_hard_texts_by_both_ways_of_merging(monkeypatch, short):
     monkeypatch.setattr(token_counts, "SHORT", short)
-    load_counter.cache_clear()
+    load_vocabulary.cache_clear()
     assert counted(HARD) == expected(HARD)
 
 
@@ -52,14 +53,25 @@ def test_any_texts(texts):
     assert counted(texts) == expected(texts)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PIECES), min_size=1, max_size=25).map("".join), max_size=8))
+def test_ids_of_chunks(found):
+    ids, many = load_vocabulary(PATH).tokens(found)
+    plain = Tokenizer.from_file(PATH)
+    plain.encode_special_tokens = True
+    want = [c.ids for c in plain.encode_batch(found, add_special_tokens=False)]
+    cuts = np.cumsum(many)
+    assert [part.tolist() for part in np.split(ids, cuts[:-1])][: len(found)] == want
+
+
 def test_memory_of_chunks_is_bounded(monkeypatch):
-    load_counter.cache_clear()
-    counter = load_counter(PATH)
-    monkeypatch.setattr(counter.known, "limit", 50)
+    load_vocabulary.cache_clear()
+    vocabulary = load_vocabulary(PATH)
+    monkeypatch.setattr(vocabulary.known, "limit", 50)
     for i in range(40):
         texts = [f"word{'abcdefghij'[k % 10] * (k % 7)} {i} q{i * 31 + k}" for k in range(20)]
         assert counted(texts) == expected(texts)
-        assert len(counter.known.young) <= 50 + 200
+        assert len(vocabulary.known.young) <= 50 + 200
 
 
 def test_query_rows(spark, documents):

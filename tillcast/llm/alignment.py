@@ -9,7 +9,7 @@ shared-group links. Links that end together are the overlap links of equal end;
 pair's count is the number of those in the corpus.
 
 Texts are cut before a single space between other characters, where both tokenizers always
-cut, so that each different chunk is aligned once in a task; a text is its chunks in order.
+cut, so that each different chunk of a task's slice is aligned once; a text is its chunks in order.
 Of tokens that end together one's bytes end with the other's. So the two vocabularies alone
 say which id pairs there can be, some hundred thousand, whatever the corpus: pair counts
 are a table of proven size, and the documents are never shuffled.
@@ -24,29 +24,27 @@ text are not read.
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from tillcast.llm.chunks import VISIBLE, Known, chunks, joined, visible_bytes
+from tillcast.llm.chunks import VISIBLE, chunks, joined, visible_bytes
+from tillcast.llm.token_counts import Vocabulary
 from tillcast.llm.words import slices
 from tillcast.staging import stage
 
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 ALIGNED = COUNTED + ", n_best long, count_sum long, groups_sha256 string, n_overlaps long, n_shared long"
 LINKS = "doc_id long, kind string, a_place long, b_place long, a int, b int, n_bytes long"
-#: Products of single entries worked out at once; bytes of a slice of texts; characters of
-#: new chunks aligned together.
-BLOCK, SLICE, TOGETHER = 1 << 18, 1 << 20, 1 << 18
+#: Products of single entries worked out at once; bytes of chunks aligned together.
+BLOCK, TOGETHER = 1 << 18, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -126,27 +124,58 @@ def _covered(ends: np.ndarray) -> Rows:
     return Rows(starts, np.arange(starts[-1]), int(starts[-1]))
 
 
+def _ragged(values: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Stretches ``values[starts[i]:starts[i + 1]]`` of the chosen numbers, one after the other."""
+    many = np.diff(starts)[chosen]
+    begins = np.repeat(starts[chosen] - (np.cumsum(many) - many), many)
+    return values[begins + np.arange(len(begins))]
+
+
+class Tokens:
+    """The bytes of a vocabulary's tokens."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.size = np.array([len(t) for t in tokens])
+        self.starts = np.concatenate([[0], np.cumsum(self.size)])
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def told(self, ids: np.ndarray) -> np.ndarray:
+        return _ragged(self.flat, self.starts, ids)
+
+
+@dataclass(frozen=True)
+class Chunks:
+    """What is known of some chunks: whether both sides tell their bytes; tokens of A and B,
+    groups, overlap and shared-group links (five columns); slots in the pairs of the links
+    that end together; and the groups as text, each with a semicolon behind it."""
+
+    right: np.ndarray
+    figures: np.ndarray
+    slots: list[bytes]
+    groups: list[bytes]
+
+
 class Pair:
-    """Two tokenizers, the id pairs that can end together, and the chunks a worker met."""
+    """Two tokenizers and the id pairs that can end together."""
 
     def __init__(self, path_a: str, path_b: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
+        self.a = Vocabulary(path_a)
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte = {chr(sign): b for b, sign in visible_bytes().items()}
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        vocabulary = self.a.ids
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             if all(sign in byte for sign in token):
                 self.bytes_a[number] = bytes(byte[sign] for sign in token)
         self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.size_a = np.array([len(t) for t in self.bytes_a])
-        self.size_b = np.array([len(t) for t in self.bytes_b])
+        self.told_a, self.told_b = Tokens(self.bytes_a), Tokens(self.bytes_b)
+        # Each id in digits and a place for what follows it.
+        self.digits = Tokens(
+            [b"%d " % i for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+        )
         # A model may have pieces that go on after a space: then texts stay whole.
         self.cuts = not any(b" " in t.lstrip(b" ") for t in self.bytes_b)
         self.pairs = self._pairs()
-        self.known: Known[tuple | None] = Known(self.align, 60_000)
 
     def _piece(self, number: int) -> bytes:
         piece = self.b.id_to_piece(number)
@@ -175,72 +204,91 @@ class Pair:
                             found.append(a * width + b)
         return np.unique(np.array(found, np.int64))
 
-    def encoded(self, found: list[str]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-        """Ids of both sides of each chunk, which begins with a space, and whether both sides
-        tell its bytes."""
-        coded = self.a.encode_batch_fast(found, add_special_tokens=False)
-        a = [c.ids for c in coded]
-        b = self.b.encode([chunk[1:] for chunk in found], num_threads=1)
-        told = [chunk.encode() for chunk in found]
-        right = [
-            b"".join(map(self.bytes_a.__getitem__, x)) == t == b"".join(map(self.bytes_b.__getitem__, y))
-            for t, x, y in zip(told, a, b, strict=True)
-        ]
-        return a, b, np.array(right, bool)
-
-    def align(self, found: list[str]) -> list[tuple | None]:
-        """For each chunk: tokens of A and B, groups, overlap and shared-group links, slots in
-        ``pairs`` of the links that end together, and the groups as text."""
-        part = np.cumsum([len(chunk) for chunk in found]) // TOGETHER
-        cuts = (np.flatnonzero(np.diff(part)) + 1).tolist()
-        return [one for x, y in pairwise([0, *cuts, len(found)]) for one in self._align(found[x:y])]
-
-    def _align(self, found: list[str]) -> list[tuple | None]:
-        ids_a, ids_b, right = self.encoded(found)
-        picked = np.flatnonzero(right).tolist()
-        out: list[tuple | None] = [None] * len(found)
-        if not picked:
-            return out
-        many_a = np.array([len(ids_a[i]) for i in picked])
-        many_b = np.array([len(ids_b[i]) for i in picked])
-        a = np.concatenate([ids_a[i] for i in picked])
-        b = np.concatenate([ids_b[i] for i in picked])
-        both = Aligned(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
-        chunk_of = np.repeat(np.arange(len(picked)), many_a)
-        overlaps = np.zeros(len(picked), np.int64)
-        slots, at = [], np.zeros(len(picked), np.int64)
+    def encoded(self, found: pa.StringArray) -> tuple[np.ndarray, ...]:
+        """Ids of A and B in all chunks, which begin with a space; their numbers in each; and
+        whether both sides tell a chunk's bytes."""
+        texts = found.to_pylist()
+        a, many_a = self.a.tokens(texts)
+        lists = self.b.encode([text[1:] for text in texts], num_threads=1)
+        many_b = np.fromiter(map(len, lists), np.int64, len(lists))
+        b = np.fromiter(chain.from_iterable(lists), np.int64, int(many_b.sum()))
+        raw, starts = joined(found)
+        right = np.ones(len(texts), bool)
+        for ids, many, tokens in ((a, many_a, self.told_a), (b, many_b, self.told_b)):
+            ends = np.concatenate([[0], np.cumsum(tokens.size[ids])])
+            ends = ends[np.concatenate([[0], np.cumsum(many)])]
+            right &= np.diff(ends) == np.diff(starts)
+            same = np.flatnonzero(right)
+            wrong = _ragged(tokens.told(ids), ends, same) != _ragged(raw, starts, same)
+            if wrong.any():
+                right[same[np.repeat(np.arange(len(same)), np.diff(starts)[same])[wrong]]] = False
+        return a, many_a, b, many_b, right
+
+    def align(self, found: pa.StringArray) -> Chunks:
+        size = np.cumsum(np.diff(joined(found)[1])) // TOGETHER
+        cuts = (np.flatnonzero(np.diff(size)) + 1).tolist()
+        parts = [self._align(found[x:y]) for x, y in pairwise([0, *cuts, len(found)])]
+        return Chunks(
+            np.concatenate([p.right for p in parts]),
+            np.concatenate([p.figures for p in parts]),
+            [one for p in parts for one in p.slots],
+            [one for p in parts for one in p.groups],
+        )
+
+    def _align(self, found: pa.StringArray) -> Chunks:
+        a, many_a, b, many_b, right = self.encoded(found)
+        if not right.all():
+            a, b = a[np.repeat(right, many_a)], b[np.repeat(right, many_b)]
+            many_a, many_b = many_a * right, many_b * right
+        both = Aligned(np.cumsum(self.told_a.size[a]), np.cumsum(self.told_b.size[b]))
+        chunk_of = np.repeat(np.arange(len(found)), many_a)
+        figures = np.zeros((len(found), 5), np.int64)
+        figures[:, 0], figures[:, 1] = many_a, many_b
+        slots = [np.empty(0, np.int64)]
+        linked = np.zeros(len(found), np.int64)
         for row, column, _ in both.overlaps:
-            overlaps += np.bincount(chunk_of[row], minlength=len(picked))
+            figures[:, 3] += np.bincount(chunk_of[row], minlength=len(found))
             together = both.ends_a[row] == both.ends_b[column]
             row, column = row[together], column[together]
-            at += np.bincount(chunk_of[row], minlength=len(picked))
+            linked += np.bincount(chunk_of[row], minlength=len(found))
             slots.append(np.searchsorted(self.pairs, a[row] * len(self.bytes_b) + b[column]))
-        flat = np.concatenate(slots).astype(np.int32)
         group_a, group_b = both.group_rows()
         in_b = np.bincount(group_b.columns, minlength=group_b.width)
-        shared = np.add.reduceat(in_b[group_a.columns], np.cumsum(many_a) - many_a)
-        groups = np.diff(np.append(-1, group_a.columns[np.cumsum(many_a) - 1]))
-        texts = self._told(a, group_a.columns, b, group_b.columns)
-        stops, group_stops = np.cumsum(at).tolist(), np.cumsum(groups).tolist()
-        rows = zip(
-            picked, many_a.tolist(), many_b.tolist(), groups.tolist(), overlaps.tolist(),
-            shared.tolist(), pairwise([0, *stops]), pairwise([0, *group_stops]), strict=True,
-        )
-        for i, n_a, n_b, n_groups, n_overlaps, n_shared, (x, y), (u, v) in rows:
-            told = ";".join(texts[u:v]).encode()
-            out[i] = (n_a, n_b, n_groups, n_overlaps, n_shared, flat[x:y].tobytes(), told)
-        return out
-
-    @staticmethod
-    def _told(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray) -> list[str]:
-        """``a1,a2|b1`` for each group."""
-        sides = []
-        for ids, group in ((a, group_a), (b, group_b)):
-            words = list(map(str, ids.tolist()))
-            stops = (np.flatnonzero(np.diff(group)) + 1).tolist()
-            cuts = pairwise([0, *stops, len(words)])
-            sides.append([words[x] if y - x == 1 else ",".join(words[x:y]) for x, y in cuts])
-        return [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
+        shared = np.concatenate([[0], np.cumsum(in_b[group_a.columns])])
+        figures[:, 4] = np.diff(shared[np.concatenate([[0], np.cumsum(many_a)])])
+        # Every group is ended by one token of A.
+        last = np.append(group_a.columns[1:] != group_a.columns[:-1], True)[: len(a)]
+        figures[:, 2] = np.bincount(chunk_of[last], minlength=len(found))
+        told, ends = self._told(a, group_a.columns, b, group_b.columns)
+        stops = ends[np.concatenate([[0], np.cumsum(many_a + many_b)])].tolist()
+        flat = np.concatenate(slots).astype(np.int32).tobytes()
+        at = (4 * np.concatenate([[0], np.cumsum(linked)])).tolist()
+        return Chunks(
+            right,
+            figures,
+            [flat[x:y] for x, y in pairwise(at)],
+            [told[x:y] for x, y in pairwise(stops)],
+        )
+
+    def _told(
+        self, a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray
+    ) -> tuple[bytes, np.ndarray]:
+        """``a1,a2|b1;`` for each group, and where each token's text begins."""
+        groups = int(group_a[-1]) + 1 if len(a) else 0
+        until_a = np.cumsum(np.bincount(group_a, minlength=groups))
+        in_b = np.bincount(group_b, minlength=groups)
+        until_b = np.cumsum(in_b) - in_b
+        place_a = np.arange(len(a)) + until_b[group_a]
+        place_b = np.arange(len(b)) + until_a[group_b]
+        ids = np.empty(len(a) + len(b), np.int64)
+        sign = np.full(len(ids), ord(","), np.uint8)
+        for own, place, group, end in ((a, place_a, group_a, "|"), (b, place_b, group_b, ";")):
+            ids[place] = own
+            sign[place[np.append(group[1:] != group[:-1], True)[: len(own)]]] = ord(end)
+        text = self.digits.told(ids)
+        ends = np.concatenate([[0], np.cumsum(self.digits.size[ids])])
+        text[ends[1:] - 1] = sign
+        return text.tobytes(), ends
 
     def begins(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """A single space between other characters, the second surely visible."""
@@ -268,27 +316,25 @@ def _first_pass(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = load_pair(path_a, path_b)
-        for batch in slices(batches, "text", SLICE):
+        for batch in slices(batches, "text"):
             raw, starts = joined(_with_space(batch.column("text")))
             rows = batch.num_rows
             figures = np.zeros((rows, 5), np.int64)
-            links = [b""] * rows
-            digest = [""] * rows
+            links, digest = [b""] * rows, [""] * rows
             if len(raw):
                 found, code, first = chunks(raw, starts, pair.begins(raw, starts))
-                known = pair.known.of(found)
-                right = np.array([k is not None for k in known])
-                table = np.array([k[:5] if k else (0,) * 5 for k in known], np.int64)
-                slots = [k[5] if k else None for k in known]
-                told = [k[6] if k else None for k in known]
-                for row, (x, y) in enumerate(pairwise(first.tolist())):
-                    own = code[x:y]
-                    if y == x or not right[own].all():
-                        continue
-                    figures[row] = table[own].sum(axis=0)
-                    own = own.tolist()
-                    links[row] = b"".join([slots[c] for c in own])
-                    digest[row] = hashlib.sha256(b";".join([told[c] for c in own])).hexdigest()
+                known = pair.align(found)
+                wrong = np.concatenate([[0], np.cumsum(~known.right[code])])
+                right = (np.diff(wrong[first]) == 0) & (np.diff(first) > 0)
+                for i in range(5):
+                    total = np.concatenate([[0], np.cumsum(known.figures[code, i])])
+                    figures[:, i] = np.where(right, np.diff(total[first]), 0)
+                code, first = code.tolist(), first.tolist()
+                for row in np.flatnonzero(right).tolist():
+                    own = code[first[row] : first[row + 1]]
+                    links[row] = b"".join([known.slots[c] for c in own])
+                    told = b"".join([known.groups[c] for c in own])
+                    digest[row] = hashlib.sha256(memoryview(told)[:-1]).hexdigest()
             at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in links])]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(links), np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -356,11 +402,10 @@ def token_links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for row, text in enumerate(texts):
                 if not text:
                     continue
-                (a,), (b,), right = pair.encoded([f" {text}"])
+                a, _, b, _, right = pair.encoded(pa.array([f" {text}"]))
                 if not right[0]:
                     continue
-                a, b = np.array(a), np.array(b)
-                both = Aligned(np.cumsum(pair.size_a[a]), np.cumsum(pair.size_b[b]))
+                both = Aligned(np.cumsum(pair.told_a.size[a]), np.cumsum(pair.told_b.size[b]))
                 kinds = (("overlap", both.overlaps), ("end", both.end_links()), ("group", both.group_links()))
                 for kind, blocks in kinds:
                     for x, y, shared in blocks:

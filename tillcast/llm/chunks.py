@@ -43,7 +43,7 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(
     raw: np.ndarray, starts: np.ndarray, begins: np.ndarray
-) -> tuple[list[str], np.ndarray, np.ndarray]:
+) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
     """Different chunks; the chunk at each place in order; each text's first place (rows + 1).
 
     ``begins`` marks the bytes at which a chunk begins besides the beginnings of texts.
@@ -55,7 +55,7 @@ def chunks(
     coded = pa.StringArray.from_buffers(
         len(places), pa.py_buffer(ends.tobytes()), pa.py_buffer(raw.tobytes())
     ).dictionary_encode()
-    return coded.dictionary.to_pylist(), np.asarray(coded.indices), np.searchsorted(places, starts)
+    return coded.dictionary, np.asarray(coded.indices), np.searchsorted(places, starts)
 
 
 class Known(Generic[Value]):

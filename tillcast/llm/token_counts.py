@@ -33,6 +33,8 @@ from tillcast.llm.words import slices
 
 #: Symbols of a sequence that merges step by step; rank of a pair that never merges.
 SHORT, NONE = 256, np.iinfo(np.int32).max
+#: The last of the letters whose kind no version of Unicode changes, and signs of one byte.
+LATIN, SIGNS = "ɏ", frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
@@ -72,13 +74,18 @@ def _apart(at: np.ndarray, follower: np.ndarray) -> np.ndarray:
     return at[(nth - first) % 2 == 0]
 
 
-def surviving(merges: Merges, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Symbols left in each sequence after all merges; no sequence is empty."""
+def surviving(
+    merges: Merges, symbols: np.ndarray, starts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols left after all merges, in order, and their number in each sequence; no
+    sequence is empty."""
     lengths = np.diff(starts)
     counts = np.zeros(len(lengths), np.int64)
     long = lengths > SHORT
+    ready: list[tuple[np.ndarray, np.ndarray]] = []
     if long.any():
-        counts[long] = _by_rank(merges, *_taken(symbols, lengths, long))
+        left, counts[long] = _by_rank(merges, *_taken(symbols, lengths, long))
+        ready.append((left, np.repeat(np.flatnonzero(long), counts[long])))
         symbols, starts = _taken(symbols, lengths, ~long)
     number = np.flatnonzero(~long)
     symbols = symbols.copy()
@@ -90,6 +97,7 @@ def surviving(merges: Merges, symbols: np.ndarray, starts: np.ndarray) -> np.nda
         if done.any():
             counts[number[done]] = lengths[done]
             stays = np.repeat(~done, lengths)
+            ready.append((symbols[~stays], np.repeat(number[done], lengths[done])))
             symbols, ranks = symbols[stays], ranks[stays]
             number, lengths, lowest = number[~done], lengths[~done], lowest[~done]
             starts = np.concatenate([[0], np.cumsum(lengths)])
@@ -110,7 +118,9 @@ def surviving(merges: Merges, symbols: np.ndarray, starts: np.ndarray) -> np.nda
         fresh[inner] = merges.ranks(symbols[touched[inner]], symbols[touched[inner] + 1])
         ranks[touched] = fresh
         ranks[starts[1:] - 1] = NONE
-    return counts
+    owner = np.concatenate([n for _, n in ready]) if ready else np.empty(0, np.int64)
+    left = np.concatenate([t for t, _ in ready]) if ready else symbols
+    return left[np.argsort(owner, kind="stable")], counts
 
 
 def _taken(
@@ -120,7 +130,9 @@ def _taken(
     return symbols[np.repeat(chosen, lengths)], np.concatenate([[0], np.cumsum(lengths[chosen])])
 
 
-def _by_rank(merges: Merges, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _by_rank(
+    merges: Merges, symbols: np.ndarray, starts: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """:func:`surviving` for long sequences: ranks in ascending order, all places of a rank
     at once, symbols linked to their neighbours."""
     n = len(symbols)
@@ -164,11 +176,11 @@ def _by_rank(merges: Merges, symbols: np.ndarray, starts: np.ndarray) -> np.ndar
         fresh = merges.ranks(symbols[touched], symbols[np.minimum(after[touched], n)])
         ranks[touched] = np.where(ends[touched], np.int32(NONE), fresh)
         wait(touched)
-    return np.add.reduceat(alive.astype(np.int64), starts[:-1])
+    return symbols[:-1][alive], np.add.reduceat(alive.astype(np.int64), starts[:-1])
 
 
-class Counter:
-    """Token counts of chunks; one for each worker and vocabulary file."""
+class Vocabulary:
+    """A byte-level BPE vocabulary, and the token counts of chunks a worker has met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -185,39 +197,46 @@ class Counter:
         if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("special strings must match exactly what they say")
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.merges = Merges(model["vocab"], pairs)
+        self.ids: dict[str, int] = model["vocab"]
+        self.merges = Merges(self.ids, pairs)
         self.pre_tokenizer = Tokenizer.from_file(path).pre_tokenizer
         signs = visible_bytes()
-        self.space = chr(signs[32])
-        self.symbol = np.zeros(max(signs.values()) + 1, np.int32)
-        for sign in signs.values():
-            self.symbol[sign] = model["vocab"][chr(sign)]
+        self.plain = {sign: b for b, sign in signs.items()}
+        self.symbol = np.array([self.ids[chr(signs[b])] for b in range(256)], np.int32)
         special = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = set(special)
         self.pattern = re.compile("|".join(map(re.escape, special)).encode()) if special else None
         self.known: Known[int] = Known(self.count)
 
-    def count(self, found: list[str]) -> list[int]:
-        """Tokens of each chunk."""
-        tokens: list[str] = []
-        owner: list[int] = []
+    def tokens(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all chunks in order, as plain text, and their number in each chunk."""
+        pre: list[bytes] = []
+        many = np.ones(len(found), np.int64)
         for i, chunk in enumerate(found):
-            if chunk in self.special:
-                continue
-            if chunk.isascii() and (chunk[1:] if chunk[0] == " " else chunk).isalpha():
-                # ASCII letters after at most one space are one pre-token.
-                tokens.append(chunk.replace(" ", self.space))
-                owner.append(i)
+            word = chunk[1:] if chunk[0] == " " else chunk
+            # Letters after at most one space are one pre-token, a single sign behind is another.
+            if word.isalpha() and (word.isascii() or max(word) <= LATIN):
+                pre.append(chunk.encode())
+            elif word[-1:] in SIGNS and word[:-1].isalpha() and max(word) <= LATIN:
+                pre += (chunk[:-1].encode(), word[-1].encode())
+                many[i] = 2
             else:
                 parts = self.pre_tokenizer.pre_tokenize_str(chunk)
-                tokens.extend(part for part, _ in parts)
-                owner.extend([i] * len(parts))
-        total = np.array([c in self.special for c in found], np.int64)
-        if tokens:
-            signs = np.frombuffer("".join(tokens).encode("utf-32-le"), "<u4")
-            starts = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-            left = surviving(self.merges, self.symbol[signs], starts)
-            np.add.at(total, np.array(owner), left)
+                pre.extend(part.translate(self.plain).encode("latin-1") for part, _ in parts)
+                many[i] = len(parts)
+        if not pre:
+            return np.empty(0, np.int32), many
+        signs = np.frombuffer(b"".join(pre), np.uint8)
+        starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pre), np.int64, len(pre)))])
+        ids, left = surviving(self.merges, self.symbol[signs], starts)
+        total = np.concatenate([[0], np.cumsum(left)])
+        return ids, np.diff(total[np.concatenate([[0], np.cumsum(many)])])
+
+    def count(self, found: list[str]) -> list[int]:
+        """Tokens of each chunk; a special string is one."""
+        plain = [i for i, chunk in enumerate(found) if chunk not in self.special]
+        total = np.ones(len(found), np.int64)
+        total[plain] = self.tokens([found[i] for i in plain])[1]
         return total.tolist()
 
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +246,7 @@ class Counter:
             return np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         begins = self.begins(raw, starts)
         found, code, first = chunks(raw, starts, begins)
-        each = np.array(self.known.of(found), np.int64)[code]
+        each = np.array(self.known.of(found.to_pylist()), np.int64)[code]
         total = np.concatenate([[0], np.cumsum(each)])
         return np.diff(starts), np.diff(total[first])
 
@@ -253,18 +272,18 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def load_counter(path: str) -> Counter:
-    """The counter of a worker; the file lies in the same place on every machine."""
-    return Counter(path)
+def load_vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a worker; the file lies in the same place on every machine."""
+    return Vocabulary(path)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of each row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = load_counter(tokenizer_path)
+        vocabulary = load_vocabulary(tokenizer_path)
         for batch in slices(batches, "text"):
-            size, tokens = counter.counts(batch.column("text"))
+            size, tokens = vocabulary.counts(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size), pa.array(tokens), pa.array(tokens > limit)],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
