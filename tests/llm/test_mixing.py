@@ -2,6 +2,9 @@ import hashlib
 import math
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from tillcast.llm.mixing import poisson_mix, source_rates
 
 
@@ -39,22 +42,46 @@ def test_counts_equal_brute_force_and_reach_the_weights(spark, documents):
     assert [r.doc_id for r in got] != sorted(r.doc_id for r in got)
 
 
-def test_large_rates_sum_to_one(spark, documents):
+def test_high_rates_are_sums_of_draws(spark, documents):
     docs = documents([(1, "x", "small"), (2, "y" * 5000, "large")])
-    rates = source_rates(docs, {"small": 1.0, "large": 1.0}).filter("mixed_source = 'small'")
-    row = rates.first()
-    assert row.rate == 2500.5 and abs(row.cdf[-1] - 1) < 1e-6
-    got = poisson_mix(docs, {"small": 1.0, "large": 1.0}, 1).groupBy("doc_id").count().collect()
-    assert abs({r.doc_id: r["count"] for r in got}[1] - 2500) < 300
+    weights = {"small": 1.0, "large": 1.0}
+    rates = {r.mixed_source: r.mixed_rate for r in source_rates(docs, weights).collect()}
+    assert rates["small"] == 2500.5
+    got = poisson_mix(docs, weights, 1).groupBy("doc_id").count().collect()
+    each = rates["small"] / 4
+    want = sum(count(each, draw(1, "1" if not i else f"1:{i}")) for i in range(4))
+    assert {r.doc_id: r["count"] for r in got}[1] == want
+    assert abs(want - 2500) < 300
+
+
+def test_a_tiny_source_at_a_rate_of_a_million(spark, documents):
+    docs = documents([(1, "x", "small"), (2, "y" * 2_000_000, "large")])
+    mixed = poisson_mix(docs, {"small": 1.0, "large": 1.0}, 1).filter("source = 'small'")
+    told = mixed.agg(F.count("*"), F.countDistinct("copy"), F.min("copy"), F.max("copy")).first()
+    assert abs(told[0] - 1_000_000) < 6_000
+    assert told[1] == told[0] and told[2] == 0 and told[3] == told[0] - 1
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_documents_without_an_id_draw_each_for_itself(spark, documents, seed):
+    rows = [(None, f"text number {i:04}") for i in range(1000)]
+    got = poisson_mix(documents(rows), {"s": 1.0}, seed).collect()
+    assert abs(len(got) - 1000) < 130
+    many = Counter(r.text for r in got)
+    assert len(set(many.values())) > 2
+    again = Counter(r.text for r in poisson_mix(documents(rows[::-1]), {"s": 1.0}, seed).collect())
+    assert many == again
 
 
 def test_edges(spark, documents):
     rows = [(1, None, None), (None, "abc", None), (2, "", "s"), (2, "", "s"), (3, "abcd", "s")]
     docs = documents(rows)
-    docs = docs.withColumn("copy", docs.lang).withColumn("extra", docs.lang).withColumn("rate", docs.lang)
+    for name in ("copy", "extra", "mixed_rate", "row", "key", "count", "deal", "block"):
+        docs = docs.withColumn(name, F.lit("own"))
     mixed = poisson_mix(docs, {}, 3, epochs=3.0, default_weight=1.0)
-    assert {"extra", "copy"} < set(mixed.columns)
-    same = [r.copy for r in mixed.collect() if r.doc_id == 2]
-    assert len(same) % 2 == 0
+    assert set(mixed.columns) == set(docs.columns)
+    got = mixed.collect()
+    assert {r.row + r.key + r["count"] for r in got} == {"ownownown"}
+    assert len([r.copy for r in got if r.doc_id == 2]) % 2 == 0
     assert poisson_mix(documents([]), {"s": 1.0}, 3).collect() == []
     assert poisson_mix(docs, {}, 3).collect() == []
