@@ -3,12 +3,14 @@
 A text's runs of ``run`` words are labelled with their occurrence, so repeats stay apart.
 Each of ``sketches`` hash orders picks the ``picked`` smallest labelled runs and keeps them
 in text order: equal picks in equal order mean that the texts share runs in sequence, which
-follows edit similarity and not only the set of words. Texts with an equal sketch meet in
-a bucket. A bucket elects a leader, and the others are aligned with it. In each further round
-more members lead, and meet those that are not in their class by then, until the bucket is
-one class or all its members led. So a bucket of n copies costs n alignments, an unlike text
-among them meets each of them, no bucket is cut off, and the classes are those of all matches
-within buckets. Pairs whose lengths or words rule out a match are not aligned.
+follows edit similarity and not only the set of words. Brief texts pick single words instead,
+and more of them, as few of their runs outlast an edit. Texts with an equal sketch meet in
+a bucket. A bucket elects a leader, and the others are aligned with it, a few sketches at a
+time: matches join classes at once, and who is in the leader's class does not meet it again.
+In each further round more members lead, and meet those that are not in their class by then,
+until the bucket is one class or all its members led. So a group of n copies costs about n
+alignments, an unlike text among them meets each of them, no bucket is cut off, and the classes
+are those of all matches within buckets. Pairs whose lengths or words rule out a match are not aligned.
 
 A candidate counts if a banded alignment matches at least ``least`` of the longer text's
 words in order. The band is as wide as that many words allow, so it never misses a match.
@@ -36,11 +38,15 @@ from tillcast.llm.words import grams, hashes, mixed, slices, split
 from tillcast.staging import stage
 
 #: Words of a run, sketches of a text, runs in a sketch, least share of matched words.
-#: Of two texts of 50 words or more of which 20 percent differ at random places, about one pair
-#: in a hundred shares no sketch; of 15 percent, none in 500.
+#: Of two texts of which 20 percent of the words differ at random places, about one pair in a
+#: hundred shares no sketch; the tests measure it for 5 to 50 words.
 RUN, SKETCHES, PICKED, LEAST = 3, 40, 2, 0.8
 #: Bits of a text's bag of words; leaders of a bucket in each round, for one in the round before.
 BAG, MORE = 1024, 16
+#: Hash orders at which the waves begin.
+WAVES = (0, 1, 6)
+#: Texts of fewer words than ``BRIEF`` have sketches of ``FEW`` single words.
+BRIEF, FEW = 16, 4
 #: Numbers in the table of hash orders that is filled at once.
 BLOCK = 1 << 20
 
@@ -83,6 +89,21 @@ def order_sketches(runs: np.ndarray, sketches: int, picked: int) -> np.ndarray:
     return out
 
 
+def text_sketches(words: np.ndarray, run: int, sketches: int, picked: int) -> np.ndarray:
+    """Sketches of a text: of runs, or of single words if it is brief.
+
+    Few runs of a brief text survive an edit. Texts that may match a brief one have both kinds.
+    """
+    if not len(words):
+        return words
+    kinds = []
+    if LEAST * len(words) < BRIEF:
+        kinds.append(order_sketches(labelled(words, 1), sketches, FEW))
+    if len(words) >= BRIEF:
+        kinds.append(order_sketches(labelled(words, run), sketches, picked))
+    return np.concatenate(kinds)
+
+
 def bag_bits(words: np.ndarray) -> np.ndarray:
     """``BAG`` bits as 64-bit numbers, set where a word or a repeat of it falls."""
     bits = np.zeros(BAG, dtype=np.uint8)
@@ -99,8 +120,7 @@ def sketched(docs: DataFrame, run: int, sketches: int, picked: int) -> DataFrame
             hashed = hashes(words)
             found, bags = [], []
             for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-                runs = labelled(hashed[a:b], run)
-                found.append(order_sketches(runs, sketches, picked) if b > a else runs)
+                found.append(text_sketches(hashed[a:b], run, sketches, picked))
                 bags.append(bag_bits(hashed[a:b]))
             at = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64)
@@ -221,69 +241,108 @@ def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     )
 
 
-def _alike(n: Column, n_a: Column, bag: Column | None, bag_a: Column | None, least: float) -> Column:
-    """False only for texts that can't match ``least`` of the longer one's words: one is too
-    short, or too many of its words fall on bits of the bag that the other has not."""
-    need = least * F.greatest(n, n_a) - 1e-9
-    alike = F.least(n, n_a) >= need
-    if bag is None:
-        return alike
+def _alike(n: str, n_a: str, least: float) -> Column:
+    """Whether two texts' numbers of words allow a match of ``least`` of the longer one's."""
+    return F.least(n, n_a) >= least * F.greatest(n, n_a) - 1e-9
+
+
+def _bags_alike(least: float) -> Column:
+    """False only for texts that can't match, as too many words of one fall on bits of its bag
+    that the other has not; columns n, bag, n_a and bag_a."""
+    need = least * F.greatest("n", "n_a") - 1e-9
+    bag, bag_a = F.col("bag"), F.col("bag_a")
     lacks = lambda x, y: sum(
         (F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(BAG // 64)), F.lit(0)
     )
-    return alike & (n - lacks(bag, bag_a) >= need) & (n_a - lacks(bag_a, bag) >= need)
+    return (F.col("n") - lacks(bag, bag_a) >= need) & (F.col("n_a") - lacks(bag_a, bag) >= need)
+
+
+def _bagged(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
+    """Those of ``pairs`` whose bags allow a match."""
+    one = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"), F.col("n").alias("n_a"))
+    two = bags.select(F.col("node").alias("b"), "bag", "n")
+    return pairs.join(two, "b").join(one, "a").filter(_bags_alike(least)).select("a", "b")
+
 
+def _rooted(seats: DataFrame, stars: DataFrame | None) -> DataFrame:
+    """``seats`` with the root of each node's class by now."""
+    if stars is None:
+        return seats.withColumn("root", F.col("node"))
+    roots = stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return seats.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-def _live(seated: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets that hold more than one class of ``links``, with their class
-    ``root``; and the classes as links of each node with its root."""
-    roots = stage(components(links), "components")
-    own = seated.drop("root").join(roots, "node", "left")
-    own = stage(own.withColumn("root", F.coalesce("root", "node")), "rooted")
-    mixed_up = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    mixed_up = mixed_up.filter("low != high").select("bucket")
-    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return own.join(mixed_up, "bucket", "left_semi"), stars
 
+def _apart(seats: DataFrame) -> DataFrame:
+    """Seats of buckets that hold more than one class."""
+    held = seats.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return seats.join(held.filter("low != high").select("bucket"), "bucket", "left_semi")
 
-def near_links(sketches: DataFrame, docs: DataFrame, least: float) -> DataFrame:
-    """Verified links (a, b) whose classes are those of all matches within buckets.
 
-    In the first round a bucket's members meet its leader, the first by hash. In each further
-    one the next members by hash, ``MORE`` times as many, lead and meet those after them that
-    are not in their class yet. A bucket is done when it is one class or all its members led,
-    so two members are compared or already in one class: no match within a bucket is lost.
+def _merged(stars: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Each linked node but the roots, and the root of its class, after ``links`` joined some
+    classes."""
+    known = links if stars is None else stars.unionByName(links)
+    return stage(
+        components(known)
+        .filter("node != root")
+        .select(F.col("node").alias("a"), F.col("root").alias("b")),
+        "stars",
+    )
+
+
+def near_links(
+    sketches: DataFrame, docs: DataFrame, least: float, orders: int = SKETCHES
+) -> DataFrame:
+    """Links (a, b) whose classes are those of all matches within buckets.
+
+    Sketches are taken in waves of their hash ``orders``. In each wave the members of a bucket meet its leader, the
+    first by hash, unless they are in its class already; matches join classes before the next
+    wave. So a large group of near copies, which shares most buckets, costs about one
+    alignment a member, and not one for each sketch. After the waves, further rounds let the
+    next members by hash, ``MORE`` times as many, lead and meet those after them that are not
+    in their class yet. A bucket is done when it is one class or all its members led: two
+    members are compared or in one class, and no match within a bucket is lost.
     """
     node = F.struct("k1", "k2").alias("node")
     bags = sketches.select(node, F.col("n_words").alias("n"), "bag")
     turn = F.xxhash64("node").alias("turn")
-    buckets = sketches.select(
-        node, F.col("n_words").alias("n"), F.explode("sketch").alias("bucket")
-    ).distinct()
-    first = F.min(F.struct(turn, "node", "n")).alias("first")
+    nth = F.posexplode("sketch").alias("nth", "bucket")
+    buckets = sketches.select(node, F.col("n_words").alias("n"), nth)
+    # A text may have sketches of two kinds in each order.
+    buckets = buckets.withColumn("nth", F.col("nth") % orders)
+    first = F.min(F.struct(turn, "node")).alias("first")
     sizes = buckets.groupBy("bucket").agg(first, F.count("*").alias("size"))
     sizes = stage(sizes.filter("size > 1"), "sizes")
-    seated = stage(buckets.select("*", turn).join(sizes, "bucket"), "seated")
-    met = seated.filter((F.col("node") != F.col("first.node")))
-    met = met.filter(_alike(F.col("n"), F.col("first.n"), None, None, least))
-    pairs = stage(met.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    for side in ("a", "b"):
-        own = bags.select(
-            F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("bag").alias(f"bag_{side}")
-        )
-        pairs = pairs.join(own, side)
-    alike = _alike(F.col("n_a"), F.col("n_b"), F.col("bag_a"), F.col("bag_b"), least)
-    pairs = stage(pairs.filter(alike).select("a", "b"), "pairs")
+    led = (F.col("node") == F.col("first.node")).alias("led")
+    seated = buckets.join(sizes, "bucket").select("nth", "bucket", "node", "n", turn, "size", led)
+    seated = stage(seated, "seated")
     involved = seated.select("node.*").distinct()
     rows = with_key(docs.select("text"))
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     texts = stage(texts.join(involved, ["k1", "k2"], "left_semi"), "texts")
-    links = stage(aligned(pairs, texts, least).select("a", "b"), "links")
-    slim = seated.select(
-        "bucket", "node", "n", "turn", "size", (F.col("node") == F.col("first.node")).alias("led")
-    )
+
+    stars: DataFrame | None = None
+    tried: DataFrame | None = None
+    for low, high in zip(WAVES, [*WAVES[1:], None], strict=True):
+        within = F.col("nth") >= low if high is None else F.col("nth").between(low, high - 1)
+        wave = _rooted(seated.filter(within), stars)
+        wave = stage(wave, "wave")
+        leaders = wave.filter("led").select(
+            "bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root"))
+        )
+        met = wave.filter("NOT led").join(leaders, "bucket")
+        met = met.filter((F.col("root") != F.col("root_a")) & _alike("n", "n_a", least))
+        pairs = met.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stage(pairs, "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = stage(aligned(_bagged(pairs, bags, least), texts, least).select("a", "b"), "links")
+        if not found.isEmpty():
+            stars = _merged(stars, found)
+
     # One class in a bucket of two, or both have met.
-    live, stars = _live(slim.filter("size > 2"), links)
+    live = _apart(stage(_rooted(seated.filter("size > 2").drop("nth"), stars), "rooted"))
     live = stage(live.join(bags.select("node", "bag"), "node"), "live")
     share = F.col("turn").cast("double") / 2.0**64 + 0.5
     round_no = 1
@@ -292,7 +351,7 @@ def near_links(sketches: DataFrame, docs: DataFrame, least: float) -> DataFrame:
             "bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "turn", "root", "bag"))
         )
         after = F.struct("turn_a", "node_a") < F.struct("turn", "node")
-        alike = _alike(F.col("n"), F.col("n_a"), F.col("bag"), F.col("bag_a"), least)
+        alike = _alike("n", "n_a", least) & _bags_alike(least)
         met = live.join(leaders, "bucket").filter(after & (F.col("root") != F.col("root_a")) & alike)
         pairs = met.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
         found = stage(aligned(stage(pairs, "pairs"), texts, least).select("a", "b"), "links")
@@ -300,11 +359,11 @@ def near_links(sketches: DataFrame, docs: DataFrame, least: float) -> DataFrame:
             "led", F.col("led") | (share < float(MORE**round_no) / F.col("size"))
         )
         if not found.isEmpty():
-            links = links.unionByName(found)
-            live, stars = _live(live, stars.unionByName(found))
+            stars = _merged(stars, found)
+            live = _apart(stage(_rooted(live.drop("root"), stars), "rooted"))
         live = stage(live, "live")
         round_no += 1
-    return links
+    return sketches.sparkSession.createDataFrame([], tried.schema) if stars is None else stars
 
 
 def text_classes(
@@ -328,9 +387,9 @@ def text_classes(
         ),
         "distinct",
     )
-    roots = stage(components(near_links(distinct, docs, least).select("a", "b")), "roots")
+    stars = near_links(distinct, docs, least, sketches)
     rooted = distinct.join(
-        roots.select("node.k1", "node.k2", "root"), ["k1", "k2"], "left"
+        stars.select("a.k1", "a.k2", F.col("b").alias("root")), ["k1", "k2"], "left"
     ).select("k1", "k2", "own", "n", F.coalesce("root", F.struct("k1", "k2")).alias("root"))
     rooted = stage(rooted, "rooted")
     classes = rooted.groupBy("root").agg(
@@ -361,7 +420,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     row = F.struct(*(F.col(n).alias(f"c{i}") for i, n in enumerate(names)))
     keyed = with_key(docs.select(row.alias("row"), "doc_id", "text"))
-    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id")
+    # Of rows of one id and text, the first by their other columns.
+    others = F.to_json(F.col("row"))
+    order = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", F.md5(others), others)
     one = keyed.groupBy("k1", "k2").agg(F.min_by("row", order).alias("row"))
     staying = classes.filter("stays").select("k1", "k2")
     return one.join(staying, ["k1", "k2"], "left_semi").select(
