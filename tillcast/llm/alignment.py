@@ -43,8 +43,9 @@ from tillcast.staging import stage
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long"
 ALIGNED = COUNTED + ", n_best long, count_sum long, groups_sha256 string, n_overlaps long, n_shared long"
 LINKS = "doc_id long, kind string, a_place long, b_place long, a int, b int, n_bytes long"
-#: Products of single entries worked out at once; bytes of chunks aligned together.
-BLOCK, TOGETHER = 1 << 18, 1 << 18
+#: Products of single entries worked out at once; bytes of a slice of texts, and of chunks
+#: aligned together; documents whose links are weighed together.
+BLOCK, SLICE, TOGETHER, WEIGHED = 1 << 18, 1 << 20, 1 << 18, 500
 
 
 @dataclass(frozen=True)
@@ -316,7 +317,7 @@ def _first_pass(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = load_pair(path_a, path_b)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             raw, starts = joined(_with_space(batch.column("text")))
             rows = batch.num_rows
             figures = np.zeros((rows, 5), np.int64)
@@ -329,9 +330,8 @@ def _first_pass(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 for i in range(5):
                     total = np.concatenate([[0], np.cumsum(known.figures[code, i])])
                     figures[:, i] = np.where(right, np.diff(total[first]), 0)
-                code, first = code.tolist(), first.tolist()
                 for row in np.flatnonzero(right).tolist():
-                    own = code[first[row] : first[row + 1]]
+                    own = code[first[row] : first[row + 1]].tolist()
                     links[row] = b"".join([known.slots[c] for c in own])
                     told = b"".join([known.groups[c] for c in own])
                     digest[row] = hashlib.sha256(memoryview(told)[:-1]).hexdigest()
@@ -372,7 +372,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many, best = told.value
-        for batch in batches:
+        for batch in (b.slice(i, WEIGHED) for b in batches for i in range(0, b.num_rows, WEIGHED)):
             links = batch.column("links")
             ends = np.asarray(links.offsets, np.int64)
             slots = np.asarray(links.flatten())
