@@ -7,6 +7,8 @@ trees that see all rows and features; their SQL tries every split of every featu
 from __future__ import annotations
 
 from acceptance.queries import LAST_FULL_YEAR, YEAR
+from tillcast.sources.star import CUSTOMERS, DATES, FACT, TERRITORIES
+from tillcast.sources.warehouse import mart_sql
 
 # The categories of the test tables, in sorted order.
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -347,6 +349,30 @@ def _future_linear() -> str:
     )
 
 
+#: Columns of each mart as the check compares them.
+PUSHED = {
+    "monthly_sales": "Year, Month, Quarter, IsHolidaySL, round(CAST(TotalSales AS DOUBLE), 4) AS TotalSales, "
+    + ROUNDED_DRIVERS,
+    "monthly_demand": "Year, Month, Quarter, IsHolidaySL, CAST(TotalQty AS BIGINT) AS TotalQty, "
+    + ROUNDED_DRIVERS,
+    "regional_monthly": "TerritoryName, Year, Month, CAST(TotalSales AS BIGINT) AS TotalSales, "
+    + ROUNDED_DRIVERS,
+    "customer_monthly": "CustomerKey, Year, Month, round(CAST(TotalSpent AS DOUBLE), 6) AS TotalSpent, "
+    "CAST(TotalQuantity AS BIGINT) AS TotalQuantity, PurchaseCount, Gender, EmailPromotion, CountryRegionName",
+}
+
+
+def _pushed(mart: str) -> str:
+    """The aggregate as it is generated for this database, over the star's tables."""
+    names = {FACT: "fact", DATES: "dates", TERRITORIES: "territories", CUSTOMERS: "customers"}
+    sql = mart_sql(mart, "duckdb", names)
+    if "AvgShippingTime" in PUSHED[mart]:
+        columns = PUSHED[mart].replace("AvgShippingTime", "CAST(AvgShippingTime AS BIGINT) AS AvgShippingTime")
+    else:
+        columns = PUSHED[mart]
+    return _with(STAR, f"SELECT {columns} FROM ({sql})")
+
+
 ORACLES: dict[str, str] = {
     "fact_sales_detail": _with(
         STAR,
@@ -473,6 +499,7 @@ ORACLES: dict[str, str] = {
         "SELECT Year, Month, Quarter, IsHolidaySL, round(TotalSales, 4) AS TotalSales, row_number() OVER "
         "(ORDER BY Year, Month, Quarter, IsHolidaySL, TotalSales) AS Place FROM monthly",
     ),
+    **{f"pushed_{mart}": _pushed(mart) for mart in PUSHED},
     "next_purchase_label": _with(
         MARTS,
         "SELECT CustomerKey, Year, Month, PurchaseCount, "

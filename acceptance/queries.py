@@ -40,7 +40,8 @@ from tillcast.plans.features import (
     regional_features,
 )
 from tillcast.plans.models import ForestSettings
-from tillcast.sources.star import StarSchema
+from tillcast.sources.star import CUSTOMERS, DATES, FACT, TERRITORIES, StarSchema
+from tillcast.sources.warehouse import MARTS, conform_mart
 from tillcast.staging import scratch_path, stage
 
 # The test history ends in 2001.
@@ -362,6 +363,22 @@ def json_records_mart(star: StarSchema) -> DataFrame:
     return tc.json_records(_rounded(tc.regional_monthly(star)).select(*columns))
 
 
+def _pushed(mart: str) -> Query:
+    """The aggregate that is sent to a warehouse, run by Spark over views of the star; its
+    SQL is the same aggregate as generated for the other database."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        star = _star(spark, folder)
+        names = {FACT: "pushed_fact", DATES: "pushed_dates", TERRITORIES: "pushed_territories",
+                 CUSTOMERS: "pushed_customers"}
+        for table, name in names.items():
+            getattr(star, name.removeprefix("pushed_")).createOrReplaceTempView(name)
+        sql = tc.mart_sql(mart, "spark", names)
+        return _rounded(conform_mart(spark.sql(sql), mart))
+
+    return run
+
+
 def _scores(df: DataFrame) -> DataFrame:
     return df.withColumn("PurchaseProbability", F.round("PurchaseProbability", 9))
 
@@ -404,6 +421,7 @@ QUERIES: dict[str, Query] = {
     "json_records": _over_star(json_records),
     "json_records_mart": _over_star(json_records_mart),
     "monthly_sales_in_order": _over_star(monthly_sales_in_order),
+    **{f"pushed_{mart}": _pushed(mart) for mart in MARTS},
     "next_purchase_label": _over_star(next_purchase),
     "latest_customer_month": _over_star(latest_customer_month),
     "latest_customer_month_in_year": _over_star(latest_customer_month_in_year),

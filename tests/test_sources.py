@@ -80,10 +80,17 @@ def test_jdbc_star_reads_all_four_tables(spark, make_star):
     class Session:
         read = Reader()
 
-    star = tc.jdbc_star(Session(), {"url": "jdbc:example:"}, SPLIT, {FACT: "dbo.Sales"})
+    splits = {FACT: SPLIT, CUSTOMERS: {**SPLIT, "partitionColumn": "CustomerKey"}}
+    star = tc.jdbc_star(Session(), {"url": "jdbc:example:"}, splits, {FACT: "dbo.Sales"})
     assert rows(tc.monthly_sales(star)) == rows(tc.monthly_sales(source))
-    assert ["partitionColumn" in options for options in seen] == [True, False, False, False]
+    assert [options.get("partitionColumn") for options in seen] == [
+        "SalesOrderID", None, None, "CustomerKey",
+    ]
     assert not star.rescan_is_cheap
+    with pytest.raises(ValueError, match=CUSTOMERS):
+        tc.jdbc_star(Session(), {}, {FACT: SPLIT})
+    with pytest.raises(ValueError, match="DimNothing"):
+        tc.jdbc_star(Session(), {}, {**splits, "DimNothing": SPLIT})
 
 
 def test_records_keep_missing_fields(spark, folder):

@@ -24,8 +24,11 @@ from tillcast.plans.jobs import (
 from tillcast.plans.models import ForestSettings
 from tillcast.sources import (
     StarSchema,
+    counted_split,
+    jdbc_mart,
     jdbc_star,
     json_records,
+    mart_sql,
     parquet_star,
     retail_star,
     write_mart,
@@ -37,14 +40,17 @@ __all__ = [
     "ModelNotTrained",
     "StarSchema",
     "UntrainableData",
+    "counted_split",
     "customer_features",
     "customer_monthly",
     "forecast_demand",
     "forecast_regional",
     "forecast_sales",
     "forecast_sales_forest",
+    "jdbc_mart",
     "jdbc_star",
     "json_records",
+    "mart_sql",
     "monthly_demand",
     "monthly_sales",
     "parquet_star",

@@ -142,23 +142,33 @@ def jdbc_options(
     }
 
 
+#: Tables that grow with the business; one task must not read them alone.
+SPLIT_TABLES = (FACT, CUSTOMERS)
+
+
 def jdbc_star(
     spark: SparkSession,
     options: Mapping[str, str],
-    fact_split: Mapping[str, object],
+    splits: Mapping[str, Mapping[str, object]],
     table_names: Mapping[str, str] | None = None,
 ) -> StarSchema:
     """Read the star over JDBC.
 
-    ``options`` holds url, driver and credentials from the caller's secret store.
-    ``fact_split`` (partitionColumn, lowerBound, upperBound, numPartitions) makes the
-    fact scan parallel: without it one task would read the whole table.
+    ``options`` holds url, driver and credentials from the caller's secret store. ``splits``
+    has for each table the options (partitionColumn, lowerBound, upperBound, numPartitions)
+    that make its scan parallel; the fact and the customers need theirs, which
+    :func:`counted_split` gets from the warehouse.
     """
+    missing = [t for t in SPLIT_TABLES if t not in splits]
+    if missing:
+        raise ValueError(f"a split is needed for {', '.join(missing)}")
+    unknown = set(splits) - set(SCHEMAS)
+    if unknown:
+        raise ValueError(f"no such table: {', '.join(sorted(unknown))}")
     names = {**{t: t for t in SCHEMAS}, **(table_names or {})}
 
     def read(table: str) -> DataFrame:
-        split = fact_split if table == FACT else None
-        reader = spark.read.format("jdbc").options(**jdbc_options(names[table], options, split))
-        return conform(reader.load(), table)
+        chosen = jdbc_options(names[table], options, splits.get(table))
+        return conform(spark.read.format("jdbc").options(**chosen).load(), table)
 
     return StarSchema(read(FACT), read(DATES), read(TERRITORIES), read(CUSTOMERS))
