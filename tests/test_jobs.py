@@ -17,6 +17,7 @@ from tillcast.plans.models import ForestSettings, above_half
 from tillcast.staging import scratch_root, stage
 
 SMALL = ForestSettings(trees=10, depth=4, bins=32)
+GROUPED = ForestSettings(trees=7, depth=6, bins=256, groups=3)
 
 
 @pytest.fixture(scope="module")
@@ -230,6 +231,36 @@ def test_sales_forest_stays_within_the_history(retail, marts, models):
     assert all(low <= v <= high for v in values)
 
 
+@pytest.mark.parametrize("many", [1, 4, 9])
+def test_a_forest_follows_from_its_rows(spark, retail, marts, models, tmp_path, many):
+    """However the mart is cut and ordered, and whether groups of trees grow side by side."""
+    mart = marts["regional"].orderBy(F.rand(many)).repartition(many)
+    tc.train_regional(retail, str(tmp_path), mart=mart, settings=GROUPED)
+    got = tc.forecast_regional(retail, str(tmp_path), 2002, mart=marts["regional"])
+    again = str(tmp_path / "again")
+    tc.train_regional(retail, again, mart=marts["regional"], settings=GROUPED)
+    assert rows(got) == rows(tc.forecast_regional(retail, again, 2002, mart=marts["regional"]))
+    manifest = spark.read.parquet(f"{tmp_path}/2*/manifest").first()
+    assert manifest["settings"]["parts"] == "1" and manifest["settings"]["groups"] == "3"
+
+
+def test_groups_of_trees_are_one_forest(spark, retail, marts, tmp_path):
+    """Without bootstrap all trees are equal, so groups of any size predict the same."""
+    found = []
+    for groups in (1, 2, 3):
+        path = str(tmp_path / str(groups))
+        settings = ForestSettings(trees=5, depth=4, bins=512, bootstrap=False, groups=groups)
+        tc.train_regional(retail, path, mart=marts["regional"], settings=settings)
+        found.append(rows(tc.forecast_regional(retail, path, 2002, mart=marts["regional"])))
+    assert found[0] == found[1] == found[2]
+
+
+def test_parts_follow_the_rows():
+    settings = ForestSettings(trees=1, depth=1, bins=2)
+    assert [settings.parts(n) for n in (0, 1, 4096, 4097, 138_000)] == [1, 1, 1, 2, 34]
+    assert 1024 < settings.parts(10**9) < 4096
+
+
 def test_regional_forecast(retail, marts, models):
     got = tc.forecast_regional(retail, models["regional"], 2002, mart=marts["regional"])
     names = {r[0] for r in rows(marts["regional"], "TerritoryName")}

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,9 @@ class ForestSettings:
     # draws go by part and place, so the rows, this number and the seed fix the forest on
     # any cluster.
     rows_per_part: int = 4096
+    # Groups of trees that grow side by side, each a forest of its own seed. A mart in one
+    # part keeps one core busy; the groups share the others.
+    groups: int = 1
     # Features a split looks at, in MLlib's words.
     subset: str = "all"
     bootstrap: bool = True
@@ -52,7 +57,7 @@ class ForestSettings:
 
 # Monthly and regional marts hold a few hundred rows at any fact size, so trees grow as
 # deep as Spark allows, with a bin for each value.
-REGRESSION_FOREST = ForestSettings(trees=200, depth=30, bins=1024)
+REGRESSION_FOREST = ForestSettings(trees=200, depth=30, bins=1024, memory_mb=64, groups=4)
 # The customer mart grows with the customers.
 CUSTOMER_FOREST = ForestSettings(trees=100, depth=10, bins=32, subset="sqrt")
 
@@ -135,18 +140,36 @@ def fit_forest_regression(
     ``keys`` tell the ``rows`` rows apart and fix their order.
     """
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    forest = RandomForestRegressor(
-        labelCol=label,
-        numTrees=settings.trees,
-        maxDepth=settings.depth,
-        maxBins=settings.bins,
-        featureSubsetStrategy=settings.subset,
-        maxMemoryInMB=settings.memory_mb,
-        bootstrap=settings.bootstrap,
-        seed=SEED,
-    )
     assembled = _dealt(assembler.transform(train), label, settings.parts(rows), keys)
-    return PipelineModel([assembler, forest.fit(assembled)])
+    groups = max(1, min(settings.groups, settings.trees))
+    shares = [settings.trees // groups + (i < settings.trees % groups) for i in range(groups)]
+    outputs = [f"prediction_{i}" for i in range(groups)] if groups > 1 else ["prediction"]
+
+    def grow(i: int) -> RandomForestRegressionModel:
+        forest = RandomForestRegressor(
+            labelCol=label,
+            predictionCol=outputs[i],
+            numTrees=shares[i],
+            maxDepth=settings.depth,
+            maxBins=settings.bins,
+            featureSubsetStrategy=settings.subset,
+            maxMemoryInMB=settings.memory_mb,
+            bootstrap=settings.bootstrap,
+            seed=SEED + i,
+        )
+        return forest.fit(assembled)
+
+    if groups == 1:
+        return PipelineModel([assembler, grow(0)])
+    with ThreadPoolExecutor(groups) as pool:
+        forests = list(pool.map(inheritable_thread_target(train.sparkSession)(grow), range(groups)))
+    # The mean over all trees.
+    total = " + ".join(f"{n} * {name}" for n, name in zip(shares, outputs, strict=True))
+    mean = SQLTransformer(
+        statement=f"SELECT * EXCEPT ({', '.join(outputs)}), ({total}) / {settings.trees} AS prediction "
+        "FROM __THIS__"
+    )
+    return PipelineModel([assembler, *forests, mean])
 
 
 def fit_forest_classification(
