@@ -26,6 +26,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ RUN, SKETCHES, PICKED, LEAST = 3, 40, 2, 0.8
 BAG, MORE = 1024, 16
 #: Hash orders at which the waves begin.
 WAVES = (0, 1, 6)
+#: Bits of the bags of members that are still apart after the waves, and members in a block.
+WIDE, BLOCK_ROWS = 8192, 256
 #: Texts of fewer words than ``BRIEF`` have sketches of ``FEW`` single words.
 BRIEF, FEW = 16, 4
 #: Numbers in the table of hash orders that is filled at once.
@@ -104,10 +107,10 @@ def text_sketches(words: np.ndarray, run: int, sketches: int, picked: int) -> np
     return np.concatenate(kinds)
 
 
-def bag_bits(words: np.ndarray) -> np.ndarray:
-    """``BAG`` bits as 64-bit numbers, set where a word or a repeat of it falls."""
-    bits = np.zeros(BAG, dtype=np.uint8)
-    bits[(mixed(labelled(words, 1)) % np.uint64(BAG)).astype(np.int64)] = 1
+def bag_bits(words: np.ndarray, size: int = BAG) -> np.ndarray:
+    """``size`` bits as 64-bit numbers, set where a word or a repeat of it falls."""
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(mixed(labelled(words, 1)) % np.uint64(size)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -290,6 +293,120 @@ def _merged(stars: DataFrame | None, links: DataFrame) -> DataFrame:
     )
 
 
+def _share() -> Column:
+    """Where a member stands in its bucket, as its hash has it, from 0 to 1."""
+    return F.col("turn").cast("double") / 2.0**64 + 0.5
+
+
+def _wide_bags(texts: DataFrame) -> DataFrame:
+    """node and a bag of ``WIDE`` bits for each text."""
+
+    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words, begins = split(batch.column("text"))
+            hashed = hashes(words)
+            bags = [
+                bag_bits(hashed[a:b], WIDE).tobytes()
+                for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)
+            ]
+            columns = [batch.column("k1"), batch.column("k2"), pa.array(bags, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "wide"])
+
+    bags = texts.select("k1", "k2", "text").mapInArrow(bag, "k1 long, k2 long, wide binary")
+    return bags.select(F.struct("k1", "k2").alias("node"), "wide")
+
+
+def _met(live: DataFrame, wide: DataFrame, leaders: float, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's next leaders and the members after them that are of another
+    class and can match by lengths and wide bags.
+
+    A bucket's members are cut into blocks by their hash. A pair of blocks is a group of
+    bounded size, compared bit by bit in one place, and only pairs that can match leave it.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    seats = live.join(wide, "node").withColumns({"share": _share(), "blocks": blocks})
+    seats = seats.withColumns(
+        {
+            "own": F.least(F.floor(F.col("share") * F.col("blocks")).cast("int"), F.col("blocks") - 1),
+            "leads": ~F.col("led") & (F.col("share") < leaders / F.col("size")),
+            "heads": F.least(F.ceil(leaders * F.col("blocks") / F.col("size")), F.col("blocks")).cast("int"),
+        }
+    )
+    kept = ["bucket", "turn", "n", "node.k1", "node.k2", "root.k1 AS r1", "root.k2 AS r2", "wide"]
+    last = F.least(F.col("own"), F.col("heads") - 1)
+    members = seats.withColumn("i", F.explode(F.sequence(F.lit(0), last)))
+    members = members.selectExpr(*kept, "i", "own AS j", "leads AND i = own AS a", "true AS b")
+    ahead = seats.filter(F.col("leads") & (F.col("own") < F.col("blocks") - 1))
+    ahead = ahead.withColumn("j", F.explode(F.sequence(F.col("own") + 1, F.col("blocks") - 1)))
+    ahead = ahead.selectExpr(*kept, "own AS i", "j", "true AS a", "false AS b")
+    group = ["bucket", "i", "j"]
+    rows = members.unionByName(ahead).repartition(*group).sortWithinPartitions(*group)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            cuts = _group_starts(table, group)
+            for x, y in pairwise(cuts):
+                yield from _alike_pairs(table.slice(x, y - x), least)
+            rest = table.slice(cuts[-1])
+        if rest is not None and rest.num_rows:
+            yield from _alike_pairs(rest, least)
+
+    node = "struct<k1:long,k2:long>"
+    return rows.mapInArrow(compare, f"a {node}, b {node}")
+
+
+def _group_starts(table: pa.Table, group: list[str]) -> list[int]:
+    """Rows at which a group begins; the first one is 0."""
+    new = np.zeros(table.num_rows, dtype=bool)
+    for name in group:
+        values = table.column(name).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return [0, *np.flatnonzero(new).tolist()]
+
+
+def _alike_pairs(table: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of a leader and a later member of another class that can match."""
+    held = {
+        c: table.column(c).to_numpy(zero_copy_only=False)
+        for c in ("turn", "n", "k1", "k2", "r1", "r2", "a", "b")
+    }
+    bags = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64)
+    bags = bags.reshape(table.num_rows, -1)
+    members = np.flatnonzero(held["b"])
+    for one in np.flatnonzero(held["a"]).tolist():
+        other = members
+        behind = (held["turn"][other] > held["turn"][one]) | (
+            (held["turn"][other] == held["turn"][one])
+            & ((held["k1"][other] > held["k1"][one])
+               | ((held["k1"][other] == held["k1"][one]) & (held["k2"][other] > held["k2"][one])))
+        )
+        behind &= (held["r1"][other] != held["r1"][one]) | (held["r2"][other] != held["r2"][one])
+        n, n_one = held["n"][other], held["n"][one]
+        need = least * np.maximum(n, n_one) - 1e-9
+        behind &= np.minimum(n, n_one) >= need
+        other, n, need = other[behind], n[behind], need[behind]
+        if not len(other):
+            continue
+        mine, theirs = bags[one][None, :], bags[other]
+        lacks = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
+        lacking = np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
+        other = other[(n_one - lacks >= need) & (n - lacking >= need)]
+        if len(other):
+            same = np.full(len(other), one)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.StructArray.from_arrays(
+                        [pa.array(held[c][rows]) for c in ("k1", "k2")], ["k1", "k2"]
+                    )
+                    for rows in (same, other)
+                ],
+                ["a", "b"],
+            )
+
+
 def near_links(
     sketches: DataFrame, docs: DataFrame, least: float, orders: int = SKETCHES
 ) -> DataFrame:
@@ -343,21 +460,14 @@ def near_links(
 
     # One class in a bucket of two, or both have met.
     live = _apart(stage(_rooted(seated.filter("size > 2").drop("nth"), stars), "rooted"))
-    live = stage(live.join(bags.select("node", "bag"), "node"), "live")
-    share = F.col("turn").cast("double") / 2.0**64 + 0.5
+    live = stage(live, "live")
+    wide = stage(_wide_bags(texts.join(live.select("node.*").distinct(), ["k1", "k2"])), "wide")
     round_no = 1
     while not live.isEmpty():
-        leaders = live.filter(~F.col("led") & (share < float(MORE**round_no) / F.col("size"))).select(
-            "bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "turn", "root", "bag"))
-        )
-        after = F.struct("turn_a", "node_a") < F.struct("turn", "node")
-        alike = _alike("n", "n_a", least) & _bags_alike(least)
-        met = live.join(leaders, "bucket").filter(after & (F.col("root") != F.col("root_a")) & alike)
-        pairs = met.select(F.col("node_a").alias("a"), F.col("node").alias("b")).distinct()
-        found = stage(aligned(stage(pairs, "pairs"), texts, least).select("a", "b"), "links")
-        live = live.filter(F.col("size") > float(MORE**round_no)).withColumn(
-            "led", F.col("led") | (share < float(MORE**round_no) / F.col("size"))
-        )
+        pairs = stage(_met(live, wide, float(MORE**round_no), least).distinct(), "pairs")
+        found = stage(aligned(pairs, texts, least).select("a", "b"), "links")
+        lead = _share() < float(MORE**round_no) / F.col("size")
+        live = live.filter(F.col("size") > float(MORE**round_no)).withColumn("led", F.col("led") | lead)
         if not found.isEmpty():
             stars = _merged(stars, found)
             live = _apart(stage(_rooted(live.drop("root"), stars), "rooted"))
