@@ -59,7 +59,7 @@ class ForestSettings:
 # deep as Spark allows, with a bin for each value.
 REGRESSION_FOREST = ForestSettings(trees=200, depth=30, bins=1024, memory_mb=64, groups=4)
 # The customer mart grows with the customers.
-CUSTOMER_FOREST = ForestSettings(trees=100, depth=10, bins=32, subset="sqrt")
+CUSTOMER_FOREST = ForestSettings(trees=100, depth=20, bins=32, subset="sqrt")
 
 
 @dataclass(frozen=True)
