@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tillcast.operators.calendar import expand_months
 
@@ -22,7 +21,9 @@ def territory_month_spine(
     model has not seen gets the base-level indicators.
     """
     if territory:
-        names = mart.sparkSession.range(1).select(F.lit(territory).alias("TerritoryName"))
+        # A row and not a literal: a constant key would take the join to the model's
+        # categories its equality.
+        names = mart.sparkSession.createDataFrame([(territory,)], "TerritoryName string")
     else:
         names = territory_names(mart)
     return expand_months(names, year, months)
