@@ -223,7 +223,7 @@ def test_a_large_group_of_near_copies_costs_about_an_alignment_a_member(
 
     monkeypatch.setattr(order_minhash, "aligned", counted)
     assert len(classes(documents(texts))) == 1
-    assert sum(pairs) < 2 * len(texts)
+    assert sum(pairs) < 3 * len(texts)
 
 
 def test_ties_keep_a_defined_row(spark, documents):

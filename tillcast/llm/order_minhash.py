@@ -36,16 +36,16 @@ from pyspark.sql import functions as F
 from tillcast.llm.components import components
 from tillcast.llm.substring import with_key
 from tillcast.llm.words import grams, hashes, mixed, slices, split
-from tillcast.staging import stage
+from tillcast.staging import stage, staged
 
 #: Words of a run, sketches of a text, runs in a sketch, least share of matched words.
 #: Of two texts of which 20 percent of the words differ at random places, about one pair in a
 #: hundred shares no sketch; the tests measure it for 5 to 50 words.
 RUN, SKETCHES, PICKED, LEAST = 3, 40, 2, 0.8
 #: Bits of a text's bag of words; leaders of a bucket in each round, for one in the round before.
-BAG, MORE = 1024, 16
+BAG, MORE = 1024, 64
 #: Hash orders at which the waves begin.
-WAVES = (0, 1, 6)
+WAVES = (0, 3)
 #: Bits of the bags of members that are still apart after the waves, and members in a block.
 WIDE, BLOCK_ROWS = 8192, 256
 #: Texts of fewer words than ``BRIEF`` have sketches of ``FEW`` single words.
@@ -485,18 +485,19 @@ def text_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, k1, k2, n_words) of ``docs``, and for each different text its class:
     k1, k2, class_id, texts and rows of the class, and whether the text stays."""
-    rows = stage(sketched(docs, run, sketches, picked), "sketched")
     own = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "k1", "k2")
-    distinct = stage(
-        rows.groupBy("k1", "k2").agg(
-            F.first("sketch").alias("sketch"),
-            F.first("bag").alias("bag"),
-            F.first("n_words").alias("n_words"),
-            F.min(own).alias("own"),
-            F.count("*").alias("n"),
-        ),
-        "distinct",
-    )
+    with staged(sketched(docs, run, sketches, picked), "sketched") as full:
+        rows = stage(full.drop("sketch", "bag"), "rows")
+        distinct = stage(
+            full.groupBy("k1", "k2").agg(
+                F.first("sketch").alias("sketch"),
+                F.first("bag").alias("bag"),
+                F.first("n_words").alias("n_words"),
+                F.min(own).alias("own"),
+                F.count("*").alias("n"),
+            ),
+            "distinct",
+        )
     stars = near_links(distinct, docs, least, sketches)
     rooted = distinct.join(
         stars.select("a.k1", "a.k2", F.col("b").alias("root")), ["k1", "k2"], "left"
@@ -511,7 +512,7 @@ def text_classes(
         "k1", "k2", F.col("best.doc_id").alias("class_id"), "n_texts", "n_rows",
         stays.alias("stays"),
     )
-    return rows.drop("sketch", "bag"), stage(told, "told")
+    return rows, stage(told, "told")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
