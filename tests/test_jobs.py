@@ -196,6 +196,15 @@ def test_training_from_the_star_clears_its_tables(retail, spark, tmp_path):
     assert tc.forecast_regional(retail, str(tmp_path), 2002, month=1, territory="ASIA").count() == 1
 
 
+def test_forecasts_from_the_star_clear_their_tables(retail, models, spark):
+    root = Path(scratch_root(spark)) / "tillcast"
+    before = set(root.iterdir())
+    regional = tc.forecast_regional(retail, models["regional"], 2002)
+    demand = tc.forecast_demand(retail, models["demand"])
+    assert set(root.iterdir()) == before
+    assert regional.count() == 60 and demand.count() == 12
+
+
 def test_base_year_is_the_fitted_one(spark, retail, marts, models):
     """An earlier backfill does not shift the month index of a trained model."""
     history = marts["sales"]

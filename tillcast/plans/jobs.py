@@ -55,7 +55,7 @@ from tillcast.plans.models import (
     rounded_prediction,
 )
 from tillcast.sources.star import StarSchema
-from tillcast.staging import stage, staged
+from tillcast.staging import staged
 
 
 def train_sales(star: StarSchema, path: str, mart: DataFrame | None = None) -> str:
@@ -96,14 +96,19 @@ def forecast_demand(
     allow_missing: bool = False,
 ) -> DataFrame:
     """Year, Month, Quarter, PredictedDemand; the year defaults to the last in the history."""
+
+    def forecast(history: DataFrame, year: int) -> DataFrame:
+        found = _forecast_linear("demand", history, path, year, month, allow_missing)
+        return found.withColumnRenamed("Predicted", "PredictedDemand")
+
     history = mart or monthly_demand(star)
-    if not year:
-        # Needed twice, for the last year and for the profile: aggregate the fact once.
-        history = mart or stage(history, "monthly_demand")
-        year = year_bounds(history).first()["MaxYear"]
-    return _forecast_linear("demand", history, path, year, month, allow_missing).withColumnRenamed(
-        "Predicted", "PredictedDemand"
-    )
+    if year:
+        return forecast(history, year)
+    if mart is not None:
+        return forecast(mart, year_bounds(mart).first()["MaxYear"])
+    # Needed twice, for the last year and for the profile: aggregate the fact once.
+    with staged(history, "monthly_demand") as built:
+        return _held(forecast(built, year_bounds(built).first()["MaxYear"]))
 
 
 def train_sales_forest(
@@ -187,18 +192,22 @@ def forecast_regional(
     if not year:
         raise ValueError("year is required")
     months = chosen_months(month)
-    history = mart or regional_monthly(star)
-    model = load_model(history.sparkSession, path, "regional")
-    if mart is None and not territory:
-        # Needed twice, for the names and for the profile: aggregate the fact once.
-        history = stage(history, "regional_monthly")
-    spine = territory_month_spine(history, year, months, territory)
-    future = attach_profile(spine, history, months, allow_missing)
-    encoded = regional_columns(future, model.categories, model.base_year)
-    keys = ["TerritoryName", "Year", "Month"]
-    return _predict(model, encoded.frame, keys, allow_missing).select(
-        *keys, rounded_prediction().alias("PredictedSales")
-    )
+    model = load_model(star.fact.sparkSession if mart is None else mart.sparkSession, path, "regional")
+
+    def forecast(history: DataFrame) -> DataFrame:
+        spine = territory_month_spine(history, year, months, territory)
+        future = attach_profile(spine, history, months, allow_missing)
+        encoded = regional_columns(future, model.categories, model.base_year)
+        keys = ["TerritoryName", "Year", "Month"]
+        return _predict(model, encoded.frame, keys, allow_missing).select(
+            *keys, rounded_prediction().alias("PredictedSales")
+        )
+
+    if mart is not None or territory:
+        return forecast(mart or regional_monthly(star))
+    # Needed twice, for the names and for the profile: aggregate the fact once.
+    with staged(regional_monthly(star), "regional_monthly") as built:
+        return _held(forecast(built))
 
 
 def train_customer(
@@ -277,6 +286,12 @@ def score_customers(
     return scored.orderBy(F.desc("PurchaseProbability"), "CustomerKey").limit(top_n)
 
 
+def _held(forecast: DataFrame) -> DataFrame:
+    """A forecast's rows, which outlive the table they were read from: up to twelve, or twelve
+    for each territory."""
+    return forecast.sparkSession.createDataFrame(forecast.collect(), forecast.schema)
+
+
 def _kept_keys() -> dict[str, Column]:
     """The key of a customer's month, which scaling leaves as it is."""
     return {f"key_{c}": F.col(c) for c in ("CustomerKey", "Year", "Month")}
