@@ -13,7 +13,7 @@ from tillcast.operators.calendar import month_spine, with_month_index
 from tillcast.operators.customers import next_purchase_label
 from tillcast.operators.profiles import future_from_profile
 from tillcast.plans.features import LINEAR_FEATURES
-from tillcast.plans.models import ForestSettings, above_half
+from tillcast.plans.models import CUSTOMER_FOREST, ForestSettings, above_half
 from tillcast.staging import scratch_root, stage
 
 SMALL = ForestSettings(trees=10, depth=4, bins=32)
@@ -270,6 +270,30 @@ def test_parts_follow_the_rows():
     assert 1024 < settings.parts(10**9) < 4096
 
 
+def test_customer_forests_are_grouped_over_few_wide_parts():
+    """Work and shuffle of a level go with nodes times parts; both grew with the rows."""
+    rows = [4096, 138_000, 830_000, 8_300_000]
+    assert [CUSTOMER_FOREST.parts(n) for n in rows] == [1, 1, 4, 32]
+    assert [len(CUSTOMER_FOREST.shares(n)) for n in rows] == [1, 8, 8, 8]
+    assert sum(CUSTOMER_FOREST.shares(138_000)) == CUSTOMER_FOREST.trees
+    exact = ForestSettings(trees=2, depth=5, bins=2, bootstrap=False)
+    assert [exact.parts(n) for n in (0, 4097, 830_000, 8_300_000)] == [1, 2, 24, 32]
+
+
+def test_groups_of_customer_trees_are_one_forest(retail, marts, tmp_path):
+    """Without bootstrap all trees are equal, so groups and parts of any size score the same."""
+    found = []
+    for groups, per_part in ((1, 4096), (3, 4096), (3, 50)):
+        path = str(tmp_path / f"{groups}-{per_part}")
+        settings = ForestSettings(
+            trees=5, depth=4, bins=512, bootstrap=False, groups=groups, rows_per_part=per_part
+        )
+        tc.train_customer(retail, path, mart=marts["customer"], settings=settings)
+        scored = tc.score_customers(retail, path, mart=marts["customer"])
+        found.append(rows(scored.withColumn("PurchaseProbability", F.round("PurchaseProbability", 9))))
+    assert found[0] == found[1] == found[2]
+
+
 def test_regional_forecast(retail, marts, models):
     got = tc.forecast_regional(retail, models["regional"], 2002, mart=marts["regional"])
     names = {r[0] for r in rows(marts["regional"], "TerritoryName")}

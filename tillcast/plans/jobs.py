@@ -278,7 +278,7 @@ def score_customers(
     keys = ["CustomerKey", "Year", "Month"]
     scored = (
         _predict(model, encoded.frame, keys)
-        .select(*keys, positive_probability().alias("PurchaseProbability"))
+        .select(*keys, positive_probability(model.predictor).alias("PurchaseProbability"))
         .withColumn("Prediction", above_half(F.col("PurchaseProbability")))
     )
     if top_n is None:

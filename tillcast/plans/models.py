@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml import Model, PipelineModel
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
@@ -21,6 +21,9 @@ from tillcast.operators.scaling import Scaler
 # A direction with less than this share of the variance counts as linearly dependent;
 # rounding leaves dependent ones near 1e-17.
 DEPENDENT_SHARE = 1e-13
+# Every part makes a histogram for each growing node, so parts cost nodes times parts: more of
+# them than keep a cluster's cores busy come with this many rows each.
+WIDE_PART, BUSY_PARTS = 1 << 18, 24
 SEED = 42
 INTERCEPT = "(intercept)"
 
@@ -41,14 +44,24 @@ class ForestSettings:
     # Groups of trees that grow side by side, each a forest of its own seed. A mart in one
     # part keeps one core busy; the groups share the others.
     groups: int = 1
+    # Marts of up to so many rows are not worth the groups.
+    ungrouped_rows: int = 0
     # Features a split looks at, in MLlib's words.
     subset: str = "all"
     bootstrap: bool = True
 
     def parts(self, rows: int) -> int:
         """One for a mart of a few hundred rows, whose histograms would otherwise be made and
-        shuffled many times over; parts of large marts grow, as do the cores that share them."""
-        return max(1, min(-(-rows // self.rows_per_part), 1024 + rows // (100 * self.rows_per_part)))
+        shuffled many times over; parts of large marts grow, as do the cores that share them.
+        Without bootstrap nothing is drawn by part, so the parts are the fewest that keep cores
+        busy."""
+        parts = max(1, min(-(-rows // self.rows_per_part), 1024 + rows // (100 * self.rows_per_part)))
+        return parts if self.bootstrap else min(parts, max(BUSY_PARTS, -(-rows // WIDE_PART)))
+
+    def shares(self, rows: int) -> list[int]:
+        """The trees of each group."""
+        groups = 1 if rows <= self.ungrouped_rows else max(1, min(self.groups, self.trees))
+        return [self.trees // groups + (i < self.trees % groups) for i in range(groups)]
 
     def told(self, rows: int) -> dict[str, str]:
         """The settings as they were used, to be stored with a model."""
@@ -58,8 +71,18 @@ class ForestSettings:
 # Monthly and regional marts hold a few hundred rows at any fact size, so trees grow as
 # deep as Spark allows, with a bin for each value.
 REGRESSION_FOREST = ForestSettings(trees=200, depth=30, bins=1024, memory_mb=64, groups=4)
-# The customer mart grows with the customers.
-CUSTOMER_FOREST = ForestSettings(trees=100, depth=20, bins=32, subset="sqrt")
+# The customer mart grows with the customers, and its trees with it: few wide parts, and groups
+# of trees side by side to keep the cores busy.
+CUSTOMER_FOREST = ForestSettings(
+    trees=100,
+    depth=20,
+    bins=32,
+    memory_mb=512,
+    rows_per_part=WIDE_PART,
+    groups=8,
+    ungrouped_rows=4096,
+    subset="sqrt",
+)
 
 
 @dataclass(frozen=True)
@@ -141,8 +164,8 @@ def fit_forest_regression(
     """
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
     assembled = _dealt(assembler.transform(train), label, settings.parts(rows), keys)
-    groups = max(1, min(settings.groups, settings.trees))
-    shares = [settings.trees // groups + (i < settings.trees % groups) for i in range(groups)]
+    shares = settings.shares(rows)
+    groups = len(shares)
     outputs = [f"prediction_{i}" for i in range(groups)] if groups > 1 else ["prediction"]
 
     def grow(i: int) -> RandomForestRegressionModel:
@@ -159,10 +182,9 @@ def fit_forest_regression(
         )
         return forest.fit(assembled)
 
+    forests = _side_by_side(train.sparkSession, grow, groups)
     if groups == 1:
-        return PipelineModel([assembler, grow(0)])
-    with ThreadPoolExecutor(groups) as pool:
-        forests = list(pool.map(inheritable_thread_target(train.sparkSession)(grow), range(groups)))
+        return PipelineModel([assembler, *forests])
     # The mean over all trees.
     total = " + ".join(f"{n} * {name}" for n, name in zip(shares, outputs, strict=True))
     mean = SQLTransformer(
@@ -180,21 +202,40 @@ def fit_forest_classification(
     keys: Sequence[str],
     rows: int,
 ) -> PipelineModel:
-    """As above, for a label of 0 and 1. Two sibling leaves of the same class become one."""
+    """As above, for a label of 0 and 1. Two sibling leaves of the same class become one.
+
+    A forest of one group gives ``probability``; of more, a column for each of them, whose mean
+    over all trees :func:`positive_probability` takes.
+    """
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
-    forest = RandomForestClassifier(
-        labelCol=label,
-        numTrees=settings.trees,
-        maxDepth=settings.depth,
-        maxBins=settings.bins,
-        featureSubsetStrategy=settings.subset,
-        maxMemoryInMB=settings.memory_mb,
-        bootstrap=settings.bootstrap,
-        cacheNodeIds=True,
-        seed=SEED,
-    )
     assembled = _dealt(assembler.transform(train), label, settings.parts(rows), keys)
-    return PipelineModel([assembler, forest.fit(assembled)])
+    shares = settings.shares(rows)
+
+    def grow(i: int) -> RandomForestClassificationModel:
+        forest = RandomForestClassifier(
+            labelCol=label,
+            numTrees=shares[i],
+            maxDepth=settings.depth,
+            maxBins=settings.bins,
+            featureSubsetStrategy=settings.subset,
+            maxMemoryInMB=settings.memory_mb,
+            bootstrap=settings.bootstrap,
+            cacheNodeIds=True,
+            seed=SEED + i,
+        )
+        if len(shares) > 1:
+            forest.setProbabilityCol(f"probability_{i}").setRawPredictionCol("").setPredictionCol("")
+        return forest.fit(assembled)
+
+    return PipelineModel([assembler, *_side_by_side(train.sparkSession, grow, len(shares))])
+
+
+def _side_by_side(spark: SparkSession, grow: Callable[[int], Model], groups: int) -> list[Model]:
+    """``grow`` of each group, in threads of their own."""
+    if groups == 1:
+        return [grow(0)]
+    with ThreadPoolExecutor(groups) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(grow), range(groups)))
 
 
 def _dealt(df: DataFrame, label: str, parts: int, keys: Sequence[str]) -> DataFrame:
@@ -207,9 +248,14 @@ def rounded_prediction() -> Column:
     return F.round("prediction", 2)
 
 
-def positive_probability() -> Column:
-    """Probability of class 1."""
-    return vector_to_array("probability")[1]
+def positive_probability(predictor: PipelineModel) -> Column:
+    """Probability of class 1: the mean over all trees of the predictor's forests."""
+    forests = [m for m in predictor.stages if isinstance(m, RandomForestClassificationModel)]
+    class_1 = [vector_to_array(m.getProbabilityCol())[1] for m in forests]
+    if len(forests) == 1:
+        return class_1[0]
+    trees = [m.getNumTrees for m in forests]
+    return sum(n * p for n, p in zip(trees, class_1, strict=True)) / sum(trees)
 
 
 def above_half(probability: Column) -> Column:
