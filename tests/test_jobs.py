@@ -272,9 +272,9 @@ def test_parts_follow_the_rows():
 
 def test_customer_forests_are_grouped_over_few_wide_parts():
     """Work and shuffle of a level go with nodes times parts; both grew with the rows."""
-    rows = [4096, 138_000, 830_000, 8_300_000]
-    assert [CUSTOMER_FOREST.parts(n) for n in rows] == [1, 1, 4, 32]
-    assert [len(CUSTOMER_FOREST.shares(n)) for n in rows] == [1, 8, 8, 8]
+    rows = [4097, 65_536, 138_000, 830_000, 8_300_000]
+    assert [CUSTOMER_FOREST.parts(n) for n in rows] == [2, 16, 1, 4, 32]
+    assert [len(CUSTOMER_FOREST.shares(n)) for n in rows] == [1, 1, 8, 8, 8]
     assert sum(CUSTOMER_FOREST.shares(138_000)) == CUSTOMER_FOREST.trees
     exact = ForestSettings(trees=2, depth=5, bins=2, bootstrap=False)
     assert [exact.parts(n) for n in (0, 4097, 830_000, 8_300_000)] == [1, 2, 24, 32]

@@ -44,8 +44,8 @@ class ForestSettings:
     # Groups of trees that grow side by side, each a forest of its own seed. A mart in one
     # part keeps one core busy; the groups share the others.
     groups: int = 1
-    # Marts of up to so many rows are not worth the groups.
-    ungrouped_rows: int = 0
+    # Marts of more rows than this, if it is set, have wide parts, and only they have groups.
+    wide_from: int | None = None
     # Features a split looks at, in MLlib's words.
     subset: str = "all"
     bootstrap: bool = True
@@ -55,12 +55,14 @@ class ForestSettings:
         shuffled many times over; parts of large marts grow, as do the cores that share them.
         Without bootstrap nothing is drawn by part, so the parts are the fewest that keep cores
         busy."""
-        parts = max(1, min(-(-rows // self.rows_per_part), 1024 + rows // (100 * self.rows_per_part)))
+        per_part = WIDE_PART if self.wide_from and rows > self.wide_from else self.rows_per_part
+        parts = max(1, min(-(-rows // per_part), 1024 + rows // (100 * per_part)))
         return parts if self.bootstrap else min(parts, max(BUSY_PARTS, -(-rows // WIDE_PART)))
 
     def shares(self, rows: int) -> list[int]:
         """The trees of each group."""
-        groups = 1 if rows <= self.ungrouped_rows else max(1, min(self.groups, self.trees))
+        grouped = self.wide_from is None or rows > self.wide_from
+        groups = max(1, min(self.groups, self.trees)) if grouped else 1
         return [self.trees // groups + (i < self.trees % groups) for i in range(groups)]
 
     def told(self, rows: int) -> dict[str, str]:
@@ -71,17 +73,10 @@ class ForestSettings:
 # Monthly and regional marts hold a few hundred rows at any fact size, so trees grow as
 # deep as Spark allows, with a bin for each value.
 REGRESSION_FOREST = ForestSettings(trees=200, depth=30, bins=1024, memory_mb=64, groups=4)
-# The customer mart grows with the customers, and its trees with it: few wide parts, and groups
-# of trees side by side to keep the cores busy.
+# The customer mart grows with the customers, and its trees with it: beyond a few tens of
+# thousands of rows it has few wide parts, and groups of trees side by side keep the cores busy.
 CUSTOMER_FOREST = ForestSettings(
-    trees=100,
-    depth=20,
-    bins=32,
-    memory_mb=512,
-    rows_per_part=WIDE_PART,
-    groups=8,
-    ungrouped_rows=4096,
-    subset="sqrt",
+    trees=100, depth=20, bins=32, groups=8, wide_from=1 << 16, subset="sqrt"
 )
 
 
