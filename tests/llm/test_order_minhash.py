@@ -179,6 +179,42 @@ def test_chains_and_families_in_a_bucket_are_whole(spark, documents):
     assert same_classes(texts, one_bucket(spark, documents, texts))
 
 
+def test_chains_and_families_are_whole_over_many_rounds_of_blocks(spark, documents, monkeypatch):
+    monkeypatch.setattr(order_minhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(order_minhash, "HEADS", 2)
+    monkeypatch.setattr(order_minhash, "MORE", 16)
+    rng = random.Random(5)
+    texts = [*family(rng, 40), *chain(rng, 8)]
+    texts += [" ".join(f"u{rng.random()}" for _ in range(50)) for _ in range(12)]
+    rng.shuffle(texts)
+    assert same_classes(texts, one_bucket(spark, documents, texts))
+
+
+def test_a_round_copies_seats_in_proportion_and_misses_no_pair(spark, monkeypatch):
+    """However large a bucket is; it takes more rounds instead."""
+    monkeypatch.setattr(order_minhash, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(order_minhash, "HEADS", 2)
+    for size in (40, 160):
+        seats = spark.range(size).select(
+            F.lit(1).alias("bucket"), F.col("id").alias("node"), F.xxhash64("id").alias("turn"),
+            F.lit(size).alias("size"), F.lit(False).alias("led"),
+        ).localCheckpoint()
+        met, led = set(), 0
+        while led < size:
+            leaders = led + 8
+            rows = order_minhash._blocked(seats, led, leaders).collect()
+            assert len(rows) <= 8 * size
+            groups = {}
+            for r in rows:
+                groups.setdefault((r.i, r.j), []).append(r)
+            for group in groups.values():
+                assert len(group) < 40
+                met |= {(x.node, y.node) for x in group if x.a for y in group if y.b and y.turn > x.turn}
+            seats = seats.withColumn("led", F.col("led") | (order_minhash._share() < leaders / F.col("size")))
+            led = leaders
+        assert len(met) == size * (size - 1) // 2
+
+
 def test_near_copies_in_a_bucket_led_by_an_unlike_text(spark, documents):
     rng = random.Random(4)
     texts = [" ".join(f"u{rng.random()}" for _ in range(50)) for _ in range(40)]

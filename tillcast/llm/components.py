@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from tillcast.staging import stage
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and order-free digest of the edges."""
-    digest = F.xxhash64("a", "b").cast("decimal(38,0)")
-    return tuple(edges.agg(F.count("*"), F.sum(digest)).first())
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has no other neighbour at all."""
+    up = edges.select(F.col("a").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger"))
+    down = edges.select(F.col("b").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger"))
+    ends = up.unionByName(down).groupBy("node").agg(
+        F.sum("smaller").alias("smaller"), F.max("larger").alias("larger")
+    )
+    odd = F.count_if(F.expr("smaller > 1 OR smaller = 1 AND larger = 1"))
+    return not ends.agg(odd).first()[0]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,8 +36,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stage(
         links.select(larger.alias("a"), smaller.alias("b")).filter("a != b").distinct(), "edges"
     )
-    before = _state(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         least = stage(least, "least")
@@ -45,9 +49,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = stage(
             moved.unionByName(least).select("a", F.col("low").alias("b")).distinct(), "edges"
         )
-        after = _state(edges)
-        if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        before = after
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )

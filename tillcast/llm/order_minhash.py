@@ -46,8 +46,9 @@ RUN, SKETCHES, PICKED, LEAST = 3, 40, 2, 0.8
 BAG, MORE = 1024, 64
 #: Hash orders at which the waves begin.
 WAVES = (0, 3)
-#: Bits of the bags of members that are still apart after the waves, and members in a block.
-WIDE, BLOCK_ROWS = 8192, 256
+#: Bits of the bags of members that are still apart after the waves, members in a block, and
+#: blocks of a bucket whose members may lead in one round.
+WIDE, BLOCK_ROWS, HEADS = 8192, 1024, 16
 #: Texts of fewer words than ``BRIEF`` have sketches of ``FEW`` single words.
 BRIEF, FEW = 16, 4
 #: Numbers in the table of hash orders that is filled at once.
@@ -316,31 +317,58 @@ def _wide_bags(texts: DataFrame) -> DataFrame:
     return bags.select(F.struct("k1", "k2").alias("node"), "wide")
 
 
-def _met(live: DataFrame, wide: DataFrame, leaders: float, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket's next leaders and the members after them that are of another
-    class and can match by lengths and wide bags.
+def _blocked(seats: DataFrame, led: int, leaders: int) -> DataFrame:
+    """A row for each pair of blocks (i, j) in which a seat is compared: as the leader (a) of
+    block i, as a member (b) of block j, or both. ``led`` members of each bucket led before.
 
-    A bucket's members are cut into blocks by their hash. A pair of blocks is a group of
-    bounded size, compared bit by bit in one place, and only pairs that can match leave it.
+    Only blocks that hold leaders of this round are met. As they are at most ``HEADS`` and one, a
+    round copies a member, and on average a seat, about so many times, however large its bucket is.
     """
-    blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    seats = live.join(wide, "node").withColumns({"share": _share(), "blocks": blocks})
+    seats = seats.withColumns(
+        {"share": _share(), "blocks": F.ceil(F.col("size") / BLOCK_ROWS).cast("int")}
+    )
+    # All three by the same product, which keeps the order of the shares it is taken of.
+    block = lambda share: F.least(
+        F.floor(share * F.col("blocks")).cast("int"), F.col("blocks") - 1
+    )
     seats = seats.withColumns(
         {
-            "own": F.least(F.floor(F.col("share") * F.col("blocks")).cast("int"), F.col("blocks") - 1),
+            "own": block(F.col("share")),
+            "low": block(led / F.col("size")),
+            "high": block(leaders / F.col("size")),
             "leads": ~F.col("led") & (F.col("share") < leaders / F.col("size")),
-            "heads": F.least(F.ceil(leaders * F.col("blocks") / F.col("size")), F.col("blocks")).cast("int"),
         }
     )
-    kept = ["bucket", "turn", "n", "node.k1", "node.k2", "root.k1 AS r1", "root.k2 AS r2", "wide"]
-    last = F.least(F.col("own"), F.col("heads") - 1)
-    members = seats.withColumn("i", F.explode(F.sequence(F.lit(0), last)))
-    members = members.selectExpr(*kept, "i", "own AS j", "leads AND i = own AS a", "true AS b")
-    ahead = seats.filter(F.col("leads") & (F.col("own") < F.col("blocks") - 1))
-    ahead = ahead.withColumn("j", F.explode(F.sequence(F.col("own") + 1, F.col("blocks") - 1)))
-    ahead = ahead.selectExpr(*kept, "own AS i", "j", "true AS a", "false AS b")
+    place = lambda i, j, a, b: F.struct(i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b"))
+    own, leads, last = F.col("own"), F.col("leads"), F.least("own", "high")
+    none = F.expr("CAST(array() AS ARRAY<STRUCT<i: INT, j: INT, a: BOOLEAN, b: BOOLEAN>>)")
+    behind = F.transform(
+        F.sequence("low", last), lambda i: place(i, own, leads & (i == own), F.lit(True))
+    )
+    ahead = F.transform(
+        F.sequence(own + 1, F.col("blocks") - 1), lambda j: place(own, j, F.lit(True), F.lit(False))
+    )
+    places = F.concat(
+        F.when(F.col("low") <= last, behind).otherwise(none),
+        F.when(leads & (own < F.col("blocks") - 1), ahead).otherwise(none),
+    )
+    kept = [c for c in seats.columns if c not in ("share", "blocks", "own", "low", "high", "leads")]
+    return seats.select(*kept, F.explode(places).alias("place")).select(*kept, "place.*")
+
+
+def _met(live: DataFrame, wide: DataFrame, led: int, leaders: int, least: float) -> DataFrame:
+    """Pairs (a, b) of a bucket's next leaders and the members after them that are of another
+    class and can match by lengths and wide bags.
+
+    A bucket's members are cut into blocks by their hash. A pair of blocks is a group of
+    bounded size, compared bit by bit in one place, and only pairs that can match leave it.
+    """
+    rows = _blocked(live.join(wide, "node"), led, leaders).selectExpr(
+        "bucket", "turn", "n", "node.k1", "node.k2", "root.k1 AS r1", "root.k2 AS r2", "wide",
+        "i", "j", "a", "b",
+    )
     group = ["bucket", "i", "j"]
-    rows = members.unionByName(ahead).repartition(*group).sortWithinPartitions(*group)
+    rows = rows.repartition(*group).sortWithinPartitions(*group)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -416,8 +444,9 @@ def near_links(
     first by hash, unless they are in its class already; matches join classes before the next
     wave. So a large group of near copies, which shares most buckets, costs about one
     alignment a member, and not one for each sketch. After the waves, further rounds let the
-    next members by hash, ``MORE`` times as many, lead and meet those after them that are not
-    in their class yet. A bucket is done when it is one class or all its members led: two
+    next members by hash, ``MORE`` times as many and those of ``HEADS`` blocks at most, lead and
+    meet those after them that are not in their class yet. So what a round copies grows with the
+    seats, and a bucket of more unlike texts takes more rounds. A bucket is done when it is one class or all its members led: two
     members are compared or in one class, and no match within a bucket is lost.
     """
     node = F.struct("k1", "k2").alias("node")
@@ -462,17 +491,21 @@ def near_links(
     live = _apart(stage(_rooted(seated.filter("size > 2").drop("nth"), stars), "rooted"))
     live = stage(live, "live")
     wide = stage(_wide_bags(texts.join(live.select("node.*").distinct(), ["k1", "k2"])), "wide")
-    round_no = 1
+    led, leaders = 0, MORE
     while not live.isEmpty():
-        pairs = stage(_met(live, wide, float(MORE**round_no), least).distinct(), "pairs")
+        pairs = stage(_met(live, wide, led, leaders, least).distinct(), "pairs")
         found = stage(aligned(pairs, texts, least).select("a", "b"), "links")
-        lead = _share() < float(MORE**round_no) / F.col("size")
-        live = live.filter(F.col("size") > float(MORE**round_no)).withColumn("led", F.col("led") | lead)
-        if not found.isEmpty():
+        joined = not found.isEmpty()
+        if joined:
             stars = _merged(stars, found)
+        lead = _share() < leaders / F.col("size")
+        live = live.filter(F.col("size") > leaders).withColumn("led", F.col("led") | lead)
+        if live.isEmpty():
+            break
+        if joined:
             live = _apart(stage(_rooted(live.drop("root"), stars), "rooted"))
         live = stage(live, "live")
-        round_no += 1
+        led, leaders = leaders, min(leaders * MORE, leaders + HEADS * BLOCK_ROWS)
     return sketches.sparkSession.createDataFrame([], tried.schema) if stars is None else stars
 
 
