@@ -215,6 +215,21 @@ def test_a_round_copies_seats_in_proportion_and_misses_no_pair(spark, monkeypatc
         assert len(met) == size * (size - 1) // 2
 
 
+def test_a_pair_leaves_one_of_the_buckets_it_shares(spark):
+    rows = [(b, k, 6 + b) for b in (1, 2) for k in range(6)] + [(3, 0, 20), (3, 9, 20)]
+    live = spark.createDataFrame(rows, "bucket long, k long, size long").select(
+        "bucket", F.struct(F.col("k").alias("k1"), F.col("k").alias("k2")).alias("node"), "size",
+        F.lit(50).cast("long").alias("n"), F.xxhash64("k").alias("turn"), F.lit(False).alias("led"),
+    ).withColumn("root", F.col("node"))
+    bags = live.select("node", F.lit(bytes(order_minhash.WIDE // 8)).alias("wide")).distinct()
+    wide = bags.join(order_minhash._homes(live), "node")
+    pairs = [
+        tuple(sorted((r.a.k1, r.b.k1)))
+        for r in order_minhash._met(live, wide, 0, 64, 0.8).collect()
+    ]
+    assert sorted(pairs) == sorted([(i, j) for j in range(6) for i in range(j)] + [(0, 9)])
+
+
 def test_near_copies_in_a_bucket_led_by_an_unlike_text(spark, documents):
     rng = random.Random(4)
     texts = [" ".join(f"u{rng.random()}" for _ in range(50)) for _ in range(40)]

@@ -356,16 +356,27 @@ def _blocked(seats: DataFrame, led: int, leaders: int) -> DataFrame:
     return seats.select(*kept, F.explode(places).alias("place")).select(*kept, "place.*")
 
 
+def _homes(live: DataFrame) -> DataFrame:
+    """node and its buckets in a fixed order, the smallest first; at most one for each sketch.
+
+    Of two members the same one leads first wherever they meet, and soonest in the smallest
+    bucket. Once it led there they have met, so they need not meet in any other.
+    """
+    held = F.array_sort(F.collect_list(F.struct("size", "bucket")))
+    return live.groupBy("node").agg(held.getField("bucket").alias("homes"))
+
+
 def _met(live: DataFrame, wide: DataFrame, led: int, leaders: int, least: float) -> DataFrame:
     """Pairs (a, b) of a bucket's next leaders and the members after them that are of another
     class and can match by lengths and wide bags.
 
     A bucket's members are cut into blocks by their hash. A pair of blocks is a group of
-    bounded size, compared bit by bit in one place, and only pairs that can match leave it.
+    bounded size, compared bit by bit in one place, and only pairs that can match leave it,
+    each from the first of the buckets it shares alone.
     """
     rows = _blocked(live.join(wide, "node"), led, leaders).selectExpr(
         "bucket", "turn", "n", "node.k1", "node.k2", "root.k1 AS r1", "root.k2 AS r2", "wide",
-        "i", "j", "a", "b",
+        "homes", "i", "j", "a", "b",
     )
     group = ["bucket", "i", "j"]
     rows = rows.repartition(*group).sortWithinPartitions(*group)
@@ -404,6 +415,7 @@ def _alike_pairs(table: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
     bags = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint64)
     bags = bags.reshape(table.num_rows, -1)
     members = np.flatnonzero(held["b"])
+    bucket, homes = table.column("bucket")[0].as_py(), table.column("homes").to_pylist()
     for one in np.flatnonzero(held["a"]).tolist():
         other = members
         behind = (held["turn"][other] > held["turn"][one]) | (
@@ -422,6 +434,10 @@ def _alike_pairs(table: pa.Table, least: float) -> Iterator[pa.RecordBatch]:
         lacks = np.bitwise_count(mine & ~theirs).sum(axis=1, dtype=np.int64)
         lacking = np.bitwise_count(theirs & ~mine).sum(axis=1, dtype=np.int64)
         other = other[(n_one - lacks >= need) & (n - lacking >= need)]
+        if len(other):
+            own = set(homes[one])
+            here = [next(x for x in homes[row] if x in own) == bucket for row in other.tolist()]
+            other = other[np.array(here)]
         if len(other):
             same = np.full(len(other), one)
             yield pa.RecordBatch.from_arrays(
@@ -490,7 +506,8 @@ def near_links(
     # One class in a bucket of two, or both have met.
     live = _apart(stage(_rooted(seated.filter("size > 2").drop("nth"), stars), "rooted"))
     live = stage(live, "live")
-    wide = stage(_wide_bags(texts.join(live.select("node.*").distinct(), ["k1", "k2"])), "wide")
+    wide = _wide_bags(texts.join(live.select("node.*").distinct(), ["k1", "k2"]))
+    wide = stage(wide.join(_homes(live), "node"), "wide")
     led, leaders = 0, MORE
     while not live.isEmpty():
         pairs = stage(_met(live, wide, led, leaders, least).distinct(), "pairs")
