@@ -12,6 +12,8 @@ from tests.conftest import line, rows
 from tillcast.operators.calendar import month_spine, with_month_index
 from tillcast.operators.customers import next_purchase_label
 from tillcast.operators.profiles import future_from_profile
+from tillcast.plans import wide_forest
+from tillcast.plans.artefacts import load_model
 from tillcast.plans.features import LINEAR_FEATURES
 from tillcast.plans.models import CUSTOMER_FOREST, ForestSettings, above_half
 from tillcast.staging import scratch_root, stage
@@ -383,3 +385,95 @@ def test_jobs_leave_the_mart_choice_free(retail, marts, models):
     """The same forecast from the star and from the stored mart."""
     stored = tc.forecast_regional(retail, models["regional"], 2002, mart=marts["regional"])
     assert rows(tc.forecast_regional(retail, models["regional"], 2002)) == rows(stored)
+
+
+WIDE = ForestSettings(trees=6, depth=6, bins=32, groups=2, wide_from=100, subset="sqrt")
+
+
+def test_a_wide_customer_forest_is_a_table_of_nodes(retail, marts, spark, tmp_path):
+    """No tree reaches the driver, and the scores hold what those of any forest do."""
+    mart = marts["customer"]
+    path = str(tmp_path / "model")
+    root = Path(scratch_root(spark)) / "tillcast"
+    before = set(root.iterdir())
+    version = tc.train_customer(retail, path, mart=mart, settings=WIDE)
+    assert set(root.iterdir()) == before
+    held = {p.name for p in Path(path, version).iterdir()}
+    assert held == {"trees", "bins", "scaler", "vocabulary", "manifest"}
+    nodes = spark.read.parquet(f"{path}/{version}/trees")
+    assert nodes.select("tree").distinct().count() == WIDE.trees
+    assert nodes.agg(F.max("node")).first()[0] < 2 ** (WIDE.depth + 1)
+    rate = next_purchase_label(mart).agg(F.avg("NextPurchase")).first()[0]
+    single = mart.withColumn("CustomerKey", F.monotonically_increasing_id())
+    scored = tc.score_customers(retail, path, mart=single)
+    assert scored.count() == mart.count()
+    assert abs(scored.agg(F.avg("PurchaseProbability")).first()[0] - rate) < 0.02
+    assert scored.filter("PurchaseProbability < 0 or PurchaseProbability > 1").count() == 0
+    # In as many slices as there are, and as the best of all customers.
+    model = load_model(spark, path, "customer")
+    assert model.predictor.slices == 1
+    scores = rows(tc.score_customers(retail, path, mart=mart))
+    top = tc.score_customers(retail, path, mart=mart, top_n=5).collect()
+    assert [tuple(r) for r in top] == sorted(scores, key=lambda r: (-r[3], r[0]))[:5]
+
+
+def test_wide_forests_are_those_of_mllib(retail, marts, tmp_path, monkeypatch):
+    """Without draws: however many rows meet in a task, the same trees as MLlib grows."""
+    found = []
+    for wide, node_rows in ((None, 1 << 22), (100, 1 << 22), (100, 200)):
+        monkeypatch.setattr(wide_forest, "NODE_ROWS", node_rows)
+        path = str(tmp_path / f"{wide}-{node_rows}")
+        settings = ForestSettings(
+            trees=3, depth=5, bins=20_000, bootstrap=False, groups=2, wide_from=wide
+        )
+        tc.train_customer(retail, path, mart=marts["customer"], settings=settings)
+        scored = tc.score_customers(retail, path, mart=marts["customer"])
+        found.append(rows(scored.withColumn("PurchaseProbability", F.round("PurchaseProbability", 9))))
+    assert found[0] == found[1] == found[2]
+
+
+@pytest.mark.parametrize("many", [1, 5])
+def test_a_wide_forest_follows_from_its_rows(retail, marts, tmp_path, monkeypatch, many):
+    """However the mart is cut and ordered, with nodes split over all parts."""
+    monkeypatch.setattr(wide_forest, "NODE_ROWS", 400)
+    found = []
+    for mart in (marts["customer"], marts["customer"].orderBy(F.rand(many)).repartition(many)):
+        path = str(tmp_path / str(len(found)))
+        tc.train_customer(retail, path, mart=mart, settings=WIDE)
+        found.append(rows(tc.score_customers(retail, path, mart=marts["customer"])))
+    assert found[0] == found[1]
+
+
+def test_a_node_without_histogram_of_its_parent_grows_the_same(monkeypatch):
+    """Histograms of too many nodes for one table are made in steps."""
+    source = np.random.default_rng(7)
+    codes = source.integers(0, [12, 32, 3], (4000, 3)).astype(np.uint8)
+    label = (source.random(4000) < codes[:, 1] / 32).astype(np.uint8)
+    growth = wide_forest.Growth([12, 32, 3], 2, 4, 12, 1, True)
+    draws = growth.draws(0, 0, 0, 4000)
+    found = []
+    for cells in (1 << 23, 47 * 8, 47):
+        monkeypatch.setattr(wide_forest, "CELLS", cells)
+        nodes = wide_forest.grown(growth, codes, draws, label, 1, 0)
+        ids, split, _, good, total = nodes
+        assert good[0] == (draws * label).sum() and total[0] == draws.sum()
+        leaf = split < 0
+        assert good[leaf].sum() == good[0] and total[leaf].sum() == total[0]
+        found.append([sorted(zip(*[a.tolist() for a in nodes], strict=True))])
+    # Nodes draw their features in one order whatever the steps.
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_wide_forest_refuses_what_is_not_a_number(retail, marts, tmp_path):
+    mart = marts["customer"].withColumn(
+        "TotalQuantity", F.when(F.col("CustomerKey") % 7 > 0, F.col("TotalQuantity"))
+    )
+    with pytest.raises(PySparkException, match="TotalQuantity is NULL or NaN"):
+        tc.train_customer(retail, str(tmp_path), mart=mart, settings=WIDE)
+
+
+def test_a_lost_table_of_nodes_is_an_error(retail, marts, tmp_path):
+    version = tc.train_customer(retail, str(tmp_path), mart=marts["customer"], settings=WIDE)
+    (tmp_path / version / "trees").rename(tmp_path / "elsewhere")
+    with pytest.raises(tc.ModelNotTrained):
+        tc.score_customers(retail, str(tmp_path), mart=marts["customer"])

@@ -79,6 +79,12 @@ def indicator_names(column: str, values: Sequence[str], taken: set[str] | None =
     return names
 
 
+def indicator_blocks(categories: Categories, columns: Sequence[str]) -> list[int]:
+    """The slots of each column that has any, in their order in ``Indicators``."""
+    sizes = [len(categories.values.get(c, [])) - 1 for c in columns]
+    return [n for n in sizes if n > 0]
+
+
 def with_indicators(
     df: DataFrame, categories: Categories, columns: Sequence[str]
 ) -> tuple[DataFrame, list[str]]:

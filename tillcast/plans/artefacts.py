@@ -1,6 +1,6 @@
 """Fitted models on a shared file system, one directory per training run.
 
-``<path>/<version>/`` holds ``pipeline`` or ``weights``, ``scaler``, ``vocabulary`` and,
+``<path>/<version>/`` holds ``pipeline``, ``weights`` or ``trees`` and ``bins``, ``scaler``, ``vocabulary`` and,
 written last, ``manifest``, which lists the other parts, the features and the settings. A run that fails midway leaves no manifest and
 is never picked up, and a scorer that runs during a retrain reads one whole version, never
 a mixture.
@@ -21,6 +21,7 @@ from tillcast.errors import ModelNotTrained
 from tillcast.operators.encoding import VOCABULARY_SCHEMA, Categories
 from tillcast.operators.scaling import SCALER_SCHEMA, Scaler
 from tillcast.plans.models import WEIGHTS_SCHEMA, LinearModel
+from tillcast.plans.wide_forest import BINS_SCHEMA, TREES_SCHEMA, Bins, TreeTable, slices
 
 MANIFEST_SCHEMA = (
     "version string, kind string, base_year int, features array<string>, parts array<string>, "
@@ -31,7 +32,7 @@ MANIFEST_SCHEMA = (
 @dataclass(frozen=True)
 class TrainedModel:
     kind: str
-    predictor: PipelineModel | LinearModel
+    predictor: PipelineModel | LinearModel | TreeTable
     features: list[str]
     base_year: int | None = None
     scaler: Scaler = field(default_factory=lambda: Scaler({}))
@@ -43,6 +44,8 @@ class TrainedModel:
         """The columns the predictor reads; indicators are one of them."""
         if isinstance(self.predictor, LinearModel):
             return self.features
+        if isinstance(self.predictor, TreeTable):
+            return self.predictor.columns
         return self.predictor.stages[0].getInputCols()
 
 
@@ -53,6 +56,8 @@ def save_model(spark: SparkSession, path: str, model: TrainedModel) -> str:
     tables = {}
     if isinstance(model.predictor, LinearModel):
         tables["weights"] = model.predictor
+    elif isinstance(model.predictor, TreeTable):
+        tables["trees"], tables["bins"] = model.predictor, model.predictor.bins
     else:
         model.predictor.write().save(f"{target}/pipeline")
     if model.scaler.stats:
@@ -90,17 +95,24 @@ def load_model(spark: SparkSession, path: str, kind: str) -> TrainedModel:
             ("weights", LinearModel, WEIGHTS_SCHEMA),
             ("scaler", Scaler, SCALER_SCHEMA),
             ("vocabulary", Categories, VOCABULARY_SCHEMA),
+            ("bins", Bins, BINS_SCHEMA),
         )
         if name in parts
     }
+    settings = dict(newest["settings"] or {})
+    if "trees" in parts:
+        nodes = _read_part(spark, f"{target}/trees", TREES_SCHEMA)
+        read["trees"] = TreeTable(
+            read["bins"], nodes, int(settings["trees"]), slices(int(settings["rows"]))
+        )
     return TrainedModel(
         kind=kind,
-        predictor=read.get("weights") or PipelineModel.load(f"{target}/pipeline"),
+        predictor=read.get("weights") or read.get("trees") or PipelineModel.load(f"{target}/pipeline"),
         features=list(newest["features"]),
         base_year=newest["base_year"],
         scaler=read.get("scaler", Scaler({})),
         categories=read.get("vocabulary", Categories({})),
-        settings=dict(newest["settings"] or {}),
+        settings=settings,
     )
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tillcast.errors import UntrainableData
 from tillcast.operators.calendar import chosen_months, month_spine, with_month_index, year_bounds
 from tillcast.operators.customers import latest_month, next_purchase_label
-from tillcast.operators.encoding import align_columns
+from tillcast.operators.encoding import INDICATORS, align_columns, indicator_blocks
 from tillcast.operators.marts import (
     CUSTOMER_TRAITS,
     DRIVERS,
@@ -36,6 +36,8 @@ from tillcast.operators.split import holdout_split
 from tillcast.operators.territories import territory_month_spine
 from tillcast.plans.artefacts import TrainedModel, load_model, save_model
 from tillcast.plans.features import (
+    CUSTOMER_CATEGORIES,
+    CUSTOMER_NUMBERS,
     CUSTOMER_SCALED,
     FOREST_FEATURES,
     LINEAR_FEATURES,
@@ -46,6 +48,7 @@ from tillcast.plans.features import (
 from tillcast.plans.models import (
     CUSTOMER_FOREST,
     REGRESSION_FOREST,
+    SEED,
     ForestSettings,
     above_half,
     fit_forest_classification,
@@ -54,8 +57,9 @@ from tillcast.plans.models import (
     positive_probability,
     rounded_prediction,
 )
+from tillcast.plans.wide_forest import fit_wide_forest
 from tillcast.sources.star import StarSchema
-from tillcast.staging import staged
+from tillcast.staging import scratch_folder, staged
 
 
 def train_sales(star: StarSchema, path: str, mart: DataFrame | None = None) -> str:
@@ -218,7 +222,8 @@ def train_customer(
 ) -> str:
     """Fit whether a customer buys again, with a forest on customer-months."""
     labelled = next_purchase_label(mart or customer_monthly(star))
-    with staged(labelled, "customer_monthly") as history:
+    spark = labelled.sparkSession
+    with staged(labelled, "customer_monthly") as history, scratch_folder(spark, "forest") as folder:
         labels = history.agg(
             F.min("NextPurchase").alias("lowest"),
             F.max("NextPurchase").alias("highest"),
@@ -229,17 +234,18 @@ def train_customer(
         facts = mart_facts(history, CUSTOMER_TRAITS)
         encoded = customer_columns(history, facts.categories)
         scaler = Scaler.fit(history, CUSTOMER_SCALED)
-        pipeline = fit_forest_classification(
-            scaler.transform(encoded.frame.withColumns(_kept_keys())),
-            encoded.columns,
-            "NextPurchase",
-            settings,
-            list(_kept_keys()),
-            labels["rows"],
-        )
+        scaled = scaler.transform(encoded.frame.withColumns(_kept_keys()))
+        how = settings, list(_kept_keys()), labels["rows"]
+        if settings.wide(labels["rows"]):
+            blocks = indicator_blocks(facts.categories, CUSTOMER_CATEGORIES)
+            predictor = fit_wide_forest(
+                scaled, CUSTOMER_NUMBERS, INDICATORS, blocks, "NextPurchase", *how, SEED, folder
+            )
+        else:
+            predictor = fit_forest_classification(scaled, encoded.columns, "NextPurchase", *how)
         model = TrainedModel(
             "customer",
-            pipeline,
+            predictor,
             encoded.features,
             scaler=scaler,
             categories=facts.categories,

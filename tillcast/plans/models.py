@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillcast.operators.scaling import Scaler
+from tillcast.plans.wide_forest import TreeTable
 
 # A direction with less than this share of the variance counts as linearly dependent;
 # rounding leaves dependent ones near 1e-17.
@@ -45,6 +46,7 @@ class ForestSettings:
     # part keeps one core busy; the groups share the others.
     groups: int = 1
     # Marts of more rows than this, if it is set, have wide parts, and only they have groups.
+    # Their customer forests are tables of nodes: see wide_forest.
     wide_from: int | None = None
     # Features a split looks at, in MLlib's words.
     subset: str = "all"
@@ -55,16 +57,20 @@ class ForestSettings:
         shuffled many times over; parts of large marts grow, as do the cores that share them.
         Without bootstrap nothing is drawn by part, so the parts are the fewest that keep cores
         busy."""
-        per_part = WIDE_PART if self.wide_from and rows > self.wide_from else self.rows_per_part
+        per_part = WIDE_PART if self.wide(rows) else self.rows_per_part
         parts = max(1, min(-(-rows // per_part), 1024 + rows // (100 * per_part)))
         return parts if self.bootstrap else min(parts, max(BUSY_PARTS, -(-rows // WIDE_PART)))
 
     def shares(self, rows: int) -> list[int]:
         """The trees of each group."""
-        grouped = self.wide_from is None or rows > self.wide_from
+        grouped = self.wide_from is None or self.wide(rows)
         groups = max(1, min(self.groups, self.trees)) if grouped else 1
         return [self.trees // groups + (i < self.trees % groups) for i in range(groups)]
 
+    def wide(self, rows: int) -> bool:
+        """Whether the mart has wide parts."""
+        return self.wide_from is not None and rows > self.wide_from
+
     def told(self, rows: int) -> dict[str, str]:
         """The settings as they were used, to be stored with a model."""
         return {k: str(v) for k, v in {**asdict(self), "rows": rows, "parts": self.parts(rows)}.items()}
@@ -243,8 +249,10 @@ def rounded_prediction() -> Column:
     return F.round("prediction", 2)
 
 
-def positive_probability(predictor: PipelineModel) -> Column:
+def positive_probability(predictor: PipelineModel | TreeTable) -> Column:
     """Probability of class 1: the mean over all trees of the predictor's forests."""
+    if isinstance(predictor, TreeTable):
+        return F.col("probability")
     forests = [m for m in predictor.stages if isinstance(m, RandomForestClassificationModel)]
     class_1 = [vector_to_array(m.getProbabilityCol())[1] for m in forests]
     if len(forests) == 1:

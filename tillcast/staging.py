@@ -51,6 +51,16 @@ def staged(df: DataFrame, label: str) -> Iterator[DataFrame]:
         _drop(spark, path)
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession, label: str) -> Iterator[str]:
+    """A shared folder for tables, dropped when the block ends."""
+    path = scratch_path(spark, label)
+    try:
+        yield path
+    finally:
+        _drop(spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     folder = context._jvm.org.apache.hadoop.fs.Path(path)
