@@ -424,7 +424,7 @@ def test_wide_forests_are_those_of_mllib(retail, marts, tmp_path, monkeypatch):
         monkeypatch.setattr(wide_forest, "NODE_ROWS", node_rows)
         path = str(tmp_path / f"{wide}-{node_rows}")
         settings = ForestSettings(
-            trees=3, depth=5, bins=20_000, bootstrap=False, groups=2, wide_from=wide
+            trees=2, depth=5, bins=20_000, bootstrap=False, groups=2, wide_from=wide
         )
         tc.train_customer(retail, path, mart=marts["customer"], settings=settings)
         scored = tc.score_customers(retail, path, mart=marts["customer"])
@@ -432,12 +432,34 @@ def test_wide_forests_are_those_of_mllib(retail, marts, tmp_path, monkeypatch):
     assert found[0] == found[1] == found[2]
 
 
-@pytest.mark.parametrize("many", [1, 5])
-def test_a_wide_forest_follows_from_its_rows(retail, marts, tmp_path, monkeypatch, many):
+def test_the_larger_child_has_what_is_left_of_its_parent(spark):
+    """Only the smaller child's rows are counted; both children split as if counted themselves."""
+    source = np.random.default_rng(3)
+    codes = source.integers(0, [12, 32, 3], (3000, 3)).astype(np.uint8)
+    label = (source.random(3000) < codes[:, 1] / 32).astype(np.uint8)
+    bins = wide_forest.Bins({"a": [float(i) for i in range(11)], "b": [float(i) for i in range(31)]}, "v", [2])
+    growth = wide_forest.Growth(bins.widths, 2, 4, 12, 1, False)
+    chunk = (0, 0, len(codes), codes.tobytes(), label.tobytes())
+    rows_ = spark.createDataFrame([chunk], "part int, chunk int, rows int, codes binary, label binary")
+    tops = {0: {1: (0, 2)}}
+    root = wide_forest._split_tops(rows_, bins, growth, {0: {}}, {(0, 1): wide_forest.Counted((1,))})
+    parent = bytes(root[0]["cells"])
+    own = [
+        wide_forest._split_tops(rows_, bins, growth, tops, {(0, n): wide_forest.Counted((n,))})[0]
+        for n in (2, 3)
+    ]
+    both = wide_forest._split_tops(
+        rows_, bins, growth, tops, {(0, 2): wide_forest.Counted((2, 3), parent)}
+    )
+    assert sorted(both, key=lambda r: r["node"]) == own
+    assert all(r["split"] >= 0 for r in own)
+
+
+def test_a_wide_forest_follows_from_its_rows(retail, marts, tmp_path, monkeypatch):
     """However the mart is cut and ordered, with nodes split over all parts."""
     monkeypatch.setattr(wide_forest, "NODE_ROWS", 400)
     found = []
-    for mart in (marts["customer"], marts["customer"].orderBy(F.rand(many)).repartition(many)):
+    for mart in (marts["customer"], marts["customer"].orderBy(F.rand(5)).repartition(5)):
         path = str(tmp_path / str(len(found)))
         tc.train_customer(retail, path, mart=mart, settings=WIDE)
         found.append(rows(tc.score_customers(retail, path, mart=marts["customer"])))

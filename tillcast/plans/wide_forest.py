@@ -14,6 +14,7 @@ lowers its Gini impurity is a leaf, and two sibling leaves of the same class bec
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -21,15 +22,18 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, inheritable_thread_target
+from pyspark import TaskContext, cloudpickle, inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 if TYPE_CHECKING:
     from tillcast.plans.models import ForestSettings
 
+# Tasks get these functions with the job: executors need no more than numpy and pyarrow.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Draws of a node whose rows meet in one task, and rows packed together.
 NODE_ROWS, CHUNK = 1 << 22, 1 << 15
 # Customers scored by one task for a tree: one more slice for this many rows of the training.
@@ -44,7 +48,7 @@ GOOD = float(1 << 26)
 BINS_SCHEMA = "position int, column string, cuts array<double>, slots int"
 TREES_SCHEMA = "tree int, node long, split int, cut int, good long, total long"
 HISTOGRAM_SCHEMA = "tree int, node long, cells binary"
-SPLIT_SCHEMA = TREES_SCHEMA + ", left_good long, left_total long"
+SPLIT_SCHEMA = TREES_SCHEMA + ", left_good long, left_total long, cells binary"
 
 
 @dataclass(frozen=True)
@@ -461,10 +465,27 @@ def _routed(
             todo.append((2 * node + 1, rows[right]))
 
 
+@dataclass(frozen=True)
+class Counted:
+    """A node whose rows are counted in a pass. Its sibling's histogram is what is left of their
+    parent's; ``splits`` tells which of the two to split."""
+
+    splits: tuple[int, ...]
+    parent: bytes | None = None
+
+
 def _split_tops(
-    rows: DataFrame, bins: Bins, growth: Growth, tops: dict[int, dict], wanted: dict[int, set[int]]
-) -> list:
-    """The best split of the wanted nodes of each tree, by histograms of all their rows."""
+    rows: DataFrame,
+    bins: Bins,
+    growth: Growth,
+    tops: dict[int, dict[int, tuple[int, int]]],
+    counted: dict[tuple[int, int], Counted],
+) -> list[Row]:
+    """The best splits of the nodes that ask for one, by histograms of all their rows, and these
+    histograms."""
+    wanted: dict[int, set[int]] = {}
+    for tree, node in counted:
+        wanted.setdefault(tree, set()).add(node)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], np.ndarray] = {}
@@ -488,16 +509,22 @@ def _split_tops(
 
     def choose(key: tuple, table: pa.Table) -> pa.Table:
         tree, node = (k.as_py() for k in key)
-        cells = sum(np.frombuffer(c.as_py(), float) for c in table["cells"]).reshape(2, 1, -1)
-        total, good = cells[:, :, growth.cells[0]].sum(2)
-        source = np.random.Generator(np.random.SFC64([growth.seed, tree, node]))
-        split, cut, left_total, left_good = best_splits(
-            growth, tuple(cells), total, good, growth.looks(source, 1)
-        )
-        one = _nodes(tree, [np.array([node], np.int64), split, cut, good, total])
-        return one.append_column("left_good", [left_good.astype(np.int64)]).append_column(
-            "left_total", [left_total.astype(np.int64)]
-        )
+        asked = counted[tree, node]
+        own = sum(np.frombuffer(c.as_py(), float) for c in table["cells"])
+        found = []
+        for one in asked.splits:
+            cells = own if one == node else np.frombuffer(asked.parent, float) - own
+            held = cells.reshape(2, 1, -1)
+            total, good = held[:, :, growth.cells[0]].sum(2)
+            source = np.random.Generator(np.random.SFC64([growth.seed, tree, one]))
+            looks = growth.looks(source, 1)
+            split, cut, left_total, left_good = best_splits(growth, tuple(held), total, good, looks)
+            nodes = _nodes(tree, [np.array([one], np.int64), split, cut, good, total])
+            left = {"left_good": left_good, "left_total": left_total}
+            for name, value in left.items():
+                nodes = nodes.append_column(name, [value.astype(np.int64)])
+            found.append(nodes.append_column("cells", pa.array([cells.tobytes()], pa.binary())))
+        return pa.concat_tables(found)
 
     found = rows.mapInArrow(fill, HISTOGRAM_SCHEMA).groupBy("tree", "node")
     return found.applyInArrow(choose, SPLIT_SCHEMA).collect()
@@ -512,14 +539,14 @@ def _grow_group(
     # Nodes above: (tree, node) to split, cut, good, total.
     above: dict[tuple[int, int], list[int]] = {}
     ready: dict[int, set[int]] = {t: set() for t in trees}
-    wanted: dict[int, set[int]] = {}
+    counted: dict[tuple[int, int], Counted] = {}
     if count > NODE_ROWS:
-        wanted = {t: {1} for t in trees}
+        counted = {(t, 1): Counted((1,)) for t in trees}
     else:
         ready = {t: {1} for t in trees}
-    while wanted:
-        coming: dict[int, set[int]] = {}
-        for r in _split_tops(rows, bins, growth, tops, wanted):
+    while counted:
+        coming: dict[tuple[int, int], Counted] = {}
+        for r in _split_tops(rows, bins, growth, tops, counted):
             tree, node = r["tree"], r["node"]
             above[tree, node] = [r["split"], r["cut"], r["good"], r["total"]]
             if r["split"] < 0:
@@ -527,14 +554,18 @@ def _grow_group(
             tops[tree][node] = (r["split"], r["cut"])
             left = (r["left_good"], r["left_total"])
             right = (r["good"] - left[0], r["total"] - left[1])
+            large = []
             for child, (good, total) in ((2 * node, left), (2 * node + 1, right)):
                 if good in (0, total) or child.bit_length() - 1 >= growth.depth:
                     above[tree, child] = [-1, 0, good, total]
                 elif total > NODE_ROWS:
-                    coming.setdefault(tree, set()).add(child)
+                    large.append(child)
                 else:
                     ready[tree].add(child)
-        wanted = coming
+            if large:
+                smaller = 2 * node + (right[1] < left[1])
+                coming[tree, smaller] = Counted(tuple(large), bytes(r["cells"]))
+        counted = coming
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, chunk, codes, label in _chunks(batches, bins):
