@@ -604,21 +604,22 @@ def _grow_group(
         dealt = rows.mapInArrow(deal, "tree int, node long, rows binary")
         meet = dealt.repartition(len(groups), "tree", "node").groupBy("tree", "node")
         meet.applyInArrow(grow, TREES_SCHEMA).write.mode("append").parquet(path)
+    if not above:
+        return
+    known = dict(above)
+    if groups:
         met = spark.createDataFrame(groups, "tree int, node long")
-        roots = spark.read.schema(TREES_SCHEMA).parquet(path).join(F.broadcast(met), ["tree", "node"])
-        held = {(r["tree"], r["node"]): [r["split"], r["cut"], r["good"], r["total"]] for r in roots.collect()}
-    else:
-        held = {}
+        nodes = spark.read.schema(TREES_SCHEMA).parquet(path)
+        for r in nodes.join(F.broadcast(met), ["tree", "node"]).collect():
+            known[r["tree"], r["node"]] = [r["split"], r["cut"], r["good"], r["total"]]
     # From the lowest up; what lies below a joined node is never reached.
-    known = {**held, **above}
     for tree, node in sorted(above, key=lambda k: -k[1]):
         if known[tree, node][0] >= 0:
             a, b = known[tree, 2 * node], known[tree, 2 * node + 1]
             if a[0] < 0 and b[0] < 0 and (2 * a[2] > a[3]) == (2 * b[2] > b[3]):
                 known[tree, node][0] = -1
-    if above:
-        top = [(*k, *known[k]) for k in above]
-        spark.createDataFrame(top, TREES_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    top = [(*k, *known[k]) for k in above]
+    spark.createDataFrame(top, TREES_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
 @dataclass(frozen=True)
